@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from .ann import op10_ann
+from .dedup import op1_dedup
+from .langid import op2_langid
 from .mix import op3_mix
+from .pii import op4_pii
 
-QUERIES = {"op3_mix": op3_mix, "op10_ann": op10_ann}
+QUERIES = {"op1_dedup": op1_dedup, "op2_langid": op2_langid, "op3_mix": op3_mix, "op4_pii": op4_pii, "op10_ann": op10_ann}
 
 ORACLES: dict[str, str] = {}
