@@ -1,6 +1,6 @@
 """Near-duplicate documents by BagMinHash over word shingles.
 
-A document is the multiset of its 5-word shingles (words: runs without ASCII white space, A-Z lower-cased; a text of one
+A document is the multiset of its 5-word shingles (words: runs without ASCII white space, lower-cased; a text of one
 to four words is one shingle of all). A shingle that occurs w times covers the weight interval [0, w), discretised into
 dyadic pieces [0,1), [1,2), [2,4), ... Each piece carries a Poisson process of rate registers x length, drawn from the
 shingle's hash; a point of a piece that is only partly covered descends into the piece by its own bits and counts if it
@@ -111,7 +111,7 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                 ids = batch.column(0).slice(a, b - a).take(pa.array(have))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(prints[0]), pa.array(prints[1]), pa.array(n), lists, pa.array([x.tobytes() for x in byte], pa.binary())], ["id", "p", "q", "n", "bands", "sig"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.lower(F.col(text).cast("string")).alias("text")).where("id is not null")
     return rows.mapInArrow(sign, "id long, p long, q long, n long, bands array<long>, sig binary")
 
 
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     side = lambda c: sigs.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}"))
     star = materialize(likely(star.join(side("a"), "a").join(side("b"), "b")))
     ids = rows.select("id").distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.lower(F.col(text).cast("string")).alias("text")).join(ids, "id", "left_semi")
     texts = texts.join(repeated(docs, key), "id", "left_anti").union(texts.join(repeated(docs, key), "id", "left_semi").distinct())
     links = materialize(verified(star, texts))
     tied = members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
