@@ -9,8 +9,10 @@ process ends once it is later than all registers of its document, so the work is
 Two documents agree in a register with a probability of exactly their weighted Jaccard similarity.
 
 Signatures are cut into bands. Texts of equal words are merged first. In each bucket of a band all documents are compared
-with one hub; buckets that then still span several components are compared in full, in blocks of bounded size. All
-comparisons that count are exact multiset overlaps of the whole texts; links are closed to classes.
+with one hub, by the exact multiset overlap of the whole texts. Buckets that then still span several classes are compared
+in full, in blocks of bounded size: signatures first, of which each block passes on a forest of possible links, then, in
+the clusters that these connect, exact overlaps, of which each block passes on a forest of true links. So all rows of a
+bucket meet, while what is passed on stays linear; links are closed to classes.
 
 Null texts and texts without a word are in no group; null ids have a null class. Rows that share an id are one document,
 all of whose texts count. Repeated rows, ties and empty tables are fine. Other columns are not read.
@@ -169,37 +171,118 @@ def whole_groups(batches, keys: list[str]):
         yield pa.Table.from_batches(held)
 
 
-def open_pairs(rest: DataFrame) -> DataFrame:
-    """(band, key, id, class, n, sig, size: rows of the bucket) -> pairs of different classes that may be similar enough, from all rows of each bucket, in blocks."""
+def blocked(rest: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of groups (keys, id, size: rows of the group, ...) dealt so that any two rows of a group meet in a block (keys, x, y) of about 2 * BLOCK rows at most."""
     blocks = F.ceil(F.col("size") / BLOCK)
     mine = F.pmod(F.xxhash64("id"), blocks)
     rest = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rest = rest.select("band", "key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "id", "class", "n", "sig")
-    keys = ["band", "key", "x", "y"]
+    rest = rest.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other")).drop("mine", "other", "size")
+    return rest.repartition(*keys, "x", "y").sortWithinPartitions(*keys, "x", "y")
+
+
+def spanning(linked: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges of a forest that connects what the symmetric boolean matrix connects."""
+    unseen = np.ones(len(linked), bool)
+    a, b = [], []
+    for root in range(len(linked)):
+        if not unseen[root]:
+            continue
+        unseen[root] = False
+        todo = [root]
+        while todo:
+            u = todo.pop()
+            found = np.flatnonzero(linked[u] & unseen).tolist()
+            unseen[found] = False
+            a += [u] * len(found)
+            b += found
+            todo += found
+    return a, b
+
+
+def alike(group: pa.Table) -> np.ndarray:
+    """Which rows of a block are in different classes and may be similar enough, by size and signature."""
+    cls, n = group.column("class").to_numpy(), group.column("n").to_numpy()
+    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(n), -1)
+    out = np.zeros((len(n), len(n)), bool)
+    for i in range(len(n)):
+        near = np.flatnonzero((cls != cls[i]) & (np.minimum(n[i], n) >= SIMILARITY * np.maximum(n[i], n)))
+        out[i, near[(sig[near] == sig[i]).sum(axis=1) >= LEAST_MATCHES]] = True
+    return out
+
+
+def edges_of(ids: np.ndarray, forest: tuple[list[int], list[int]]) -> pa.RecordBatch:
+    a, b = (ids[np.array(x, np.int64)] for x in forest)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def open_links(rest: DataFrame) -> DataFrame:
+    """(band, key, id, class, n, sig, size) -> edges (a, b) of a forest over what may be similar, from all rows of each bucket; a row less than each block has rows."""
+    keys = ["band", "key"]
 
     def compare(batches):
-        for group in whole_groups(batches, keys):
-            ids, cls, n = (group.column(c).to_numpy() for c in ("id", "class", "n"))
-            if len(ids) < 2 or (cls == cls[0]).all():
-                continue
-            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-            a, b = [], []
-            for i in range(len(ids) - 1):
-                near = (cls[i + 1 :] != cls[i]) & (np.minimum(n[i], n[i + 1 :]) >= SIMILARITY * np.maximum(n[i], n[i + 1 :]))
-                j = np.flatnonzero(near) + i + 1
-                j = j[(sig[j] == sig[i]).sum(axis=1) >= LEAST_MATCHES]
-                a.append(np.minimum(ids[i], ids[j]))
-                b.append(np.maximum(ids[i], ids[j]))
-            a, b = np.concatenate(a), np.concatenate(b)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    dealt = rest.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
+        for group in whole_groups(batches, [*keys, "x", "y"]):
+            cls = group.column("class").to_numpy()
+            if not (cls == cls[0]).all():
+                yield edges_of(group.column("id").to_numpy(), spanning(alike(group)))
+
+    return blocked(rest, keys).mapInArrow(compare, "a long, b long").where("a <> b").distinct()
+
+
+def shingled(texts: DataFrame) -> DataFrame:
+    """(id, bag): the shingle multiset as sorted 8-byte hashes of (shingle, occurrence), so that overlaps of multisets are those of sets."""
+
+    def cut(batches):
+        for batch in batches:
+            for a, b in slices(batch.column("text")):
+                doc, h, count = bag(Words(batch.column("text").slice(a, b - a)))
+                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                each = mixed(np.repeat(h, count) * U(0x9FB21C651E98DF25) + nth.astype(U))
+                ends = np.searchsorted(np.repeat(doc, count), np.arange(b - a + 1))
+                bags = [each[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(bags, pa.binary())], ["id", "bag"])
+
+    return texts.select("id", "text").mapInArrow(cut, "id long, bag binary")
+
+
+def similar(group: pa.Table) -> np.ndarray:
+    """Which rows of a block are in different classes and overlap enough, exactly."""
+    linked = alike(group)
+    some = np.flatnonzero(linked.any(axis=1))
+    if not len(some):
+        return linked
+    column = group.column("bag")
+    bags = [np.frombuffer(column[int(i)].as_py(), U) for i in some]
+    size = np.array([len(x) for x in bags])
+    row = np.repeat(np.arange(len(some)), size)
+    _, code, often = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
+    shared = often[code] > 1
+    column_of = np.cumsum(often > 1) - 1
+    words = max(1, -(-int((often > 1).sum()) // 64))
+    bits = np.zeros((len(some), words), U)
+    at = column_of[code[shared]]
+    np.bitwise_or.at(bits, (row[shared], at // 64), U(1) << (at % 64).astype(U))
+    for k, i in enumerate(some.tolist()):
+        near = np.flatnonzero(linked[i, some])
+        common = np.bitwise_count(bits[near] & bits[k]).sum(axis=1, dtype=np.int64)
+        linked[i, some[near]] = common >= SIMILARITY * (size[near] + size[k] - common)
+    return linked
+
+
+def exact_links(rest: DataFrame) -> DataFrame:
+    """(cluster, id, class, n, sig, bag, size) -> edges (a, b) of a forest over the true links, from all rows of each cluster."""
+    keys = ["cluster"]
+
+    def compare(batches):
+        for group in whole_groups(batches, [*keys, "x", "y"]):
+            cls = group.column("class").to_numpy()
+            if not (cls == cls[0]).all():
+                yield edges_of(group.column("id").to_numpy(), spanning(similar(group)))
+
+    return blocked(rest, keys).mapInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, class) of every document that has words, and the exact links (a, b, jaccard) between different texts that the classes rest on."""
+    """(id, class) of every document that has words, and the exact links (a, b) between different texts that the classes rest on."""
     small_batches(docs.sparkSession)
     prints = materialize(signed(docs, key, text))
     first = prints.groupBy("p", "q").agg(F.min("id").alias("id"))
@@ -224,12 +307,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     open_rows = rows.where("size > 2").join(classes, "id", "left").select("band", "key", "id", "n", "size", F.coalesce("class", "id").alias("class"))
     mixed_up = open_rows.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band", "key")
     rest = open_rows.join(mixed_up, ["band", "key"], "left_semi").join(sigs.select("id", "sig"), "id")
-    more = materialize(verified(materialize(open_pairs(rest)).join(star, ["a", "b"], "left_anti"), texts))
-    links = links.union(more)
+    clusters = materialize(components(open_links(rest)).withColumnRenamed("class", "cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    bags = shingled(texts.join(clusters, "id", "left_semi"))
+    rows = clusters.join(sizes, "cluster").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")).join(sigs, "id").join(bags, "id")
+    more = materialize(exact_links(rows))
+    links = links.select("a", "b").union(more)
     # Ids of one text share its representative's class; an id with several texts joins theirs.
     several = members.groupBy("id").agg(F.count_distinct("rep").alias("k")).where("k > 1").select("id")
     bridges = tied.join(several.withColumnRenamed("id", "a"), "a", "left_semi")
-    classes = components(links.select("a", "b").union(bridges)) if not more.isEmpty() or not bridges.isEmpty() else classes
+    classes = components(links.union(bridges)) if not more.isEmpty() or not bridges.isEmpty() else classes
     out = members.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("class", "rep").alias("class"))
     return out.groupBy("id").agg(F.min("class").alias("class")), links
 
