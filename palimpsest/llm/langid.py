@@ -155,8 +155,11 @@ def learn(rows: DataFrame) -> Filters:
     """Filters from (lang, text). What is collected is bounded: 1 / LEAST_RATE trigrams a language."""
     small_batches(rows.sparkSession)
     picked = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
-    share = rows.groupBy("lang").agg((TRAIN_ROWS / F.count("*")).alias("share"))
-    counts = materialize(gram_counts(rows.join(share, "lang").where(picked < F.col("share")).select("lang", "text")))
+    many = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect() if r["count"] > TRAIN_ROWS}
+    share = F.lit(1.0)
+    for lang, n in sorted(many.items()):
+        share = F.when(F.col("lang") == lang, TRAIN_ROWS / n).otherwise(share)
+    counts = materialize(gram_counts(rows.where(picked < share)))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total")).where(F.col("rate") >= LEAST_RATE)
     peak = rated.groupBy("gram").agg(F.max("rate").alias("peak"))
