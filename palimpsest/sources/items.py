@@ -41,7 +41,7 @@ def _walk(name: str, value: Column, kind: T.DataType, out: dict[str, Column]) ->
 def _walk_array(name: str, values: Column, kind: T.DataType, out: dict[str, Column]) -> None:
     if isinstance(kind, T.StructType):
         for f in kind.fields:
-            inner = F.filter(F.transform(values, lambda x, n=f.name: x.getField(n)), lambda x: x.isNotNull())
+            inner = F.filter(F.transform(values, _field(f.name)), lambda x: x.isNotNull())
             _walk_array(f"{name}.{f.name}", inner, f.dataType, out)
     elif isinstance(kind, T.ArrayType):
         _walk_array(name, F.filter(F.flatten(values), lambda x: x.isNotNull()), kind.elementType, out)
@@ -50,6 +50,10 @@ def _walk_array(name: str, values: Column, kind: T.DataType, out: dict[str, Colu
         out[name] = F.when(F.size(values) > 0, values)
 
 
+def _field(name: str):
+    return lambda x: x.getField(name)
+
+
 def read_json(spark: SparkSession, path: str, id_field: str = "id", fields: str = "fields", schema: T.StructType | str | None = None) -> DataFrame:
     """Lines of {"id": ..., "fields": {...}} as items. Give a schema for large inputs: inferring one reads them twice."""
     raw = (spark.read.schema(schema) if schema else spark.read).json(path)
