@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .runtime import materialize, small_batches, table
+from .runtime import fresh, materialize, small_batches, table
 from .tokens import U, Words, mixed, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -342,10 +342,12 @@ def repeated(docs: DataFrame, key: str) -> DataFrame:
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each class, the one with the smallest id; documents in no class, or without id, stay."""
     classes, _ = near_duplicates(docs, key, text)
-    gone = classes.where("id <> class").select("id")
-    twice = materialize(repeated(docs, key))
-    rest = docs.join(gone.union(twice), docs[key].cast("long") == F.col("id"), "left_anti")
-    again = docs.join(twice.join(gone, "id", "left_anti"), docs[key].cast("long") == F.col("id"), "left_semi")
+    (name,) = fresh(docs, "id")
+    gone = classes.where("id <> class").select(F.col("id").alias(name))
+    twice = materialize(repeated(docs, key).withColumnRenamed("id", name))
+    same = docs[key].cast("long") == F.col(name)
+    rest = docs.join(gone.union(twice), same, "left_anti")
+    again = docs.join(twice.join(gone, name, "left_anti"), same, "left_semi")
     one = again.groupBy(F.col(key).alias("__id")).agg(F.min(F.struct(*[again[c] for c in docs.columns])).alias("__row")).select("__row.*")
     return rest.unionByName(one)
 
