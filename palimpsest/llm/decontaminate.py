@@ -21,19 +21,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import materialize, small_batches, table
-from .tokens import ALNUM, U, Words, slices
+from .tokens import ALNUM, P, P_INV, U, Words, slices
 
 MIN_TILE, COVERAGE = 5, 0.5
+#: Pairs of equal windows of a text and an item that are listed; where there are more, tiles are found without a list.
+MOST_PAIRS = 1 << 20
 #: The filter takes BITS_A_SEED bits a seed up to MOST_BITS (8 MB); beyond, it lets more through, and the join decides.
 BITS_A_SEED, MOST_BITS, PROBES = 32, 1 << 26, 3
 
 
-def matches(doc: np.ndarray, item: np.ndarray, dw: np.ndarray, iw: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """Maximal common runs (-length, doc position, item position) of k words or more; dw, iw: hashes of the windows."""
+def matches(dw: np.ndarray, iw: np.ndarray, k: int) -> list[tuple[int, int, int]] | None:
+    """Maximal common runs (-length, doc position, item position) of k words or more; dw, iw: hashes of the windows. None: too many pairs."""
     order = np.argsort(dw, kind="stable")
     ranked = dw[order]
     lo, hi = np.searchsorted(ranked, iw, "left"), np.searchsorted(ranked, iw, "right")
     n = hi - lo
+    if n.sum() > MOST_PAIRS:
+        return None
     j = np.repeat(np.arange(len(iw)), n)
     i = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
     sort = np.lexsort((j, i - j))
@@ -47,7 +51,9 @@ def matches(doc: np.ndarray, item: np.ndarray, dw: np.ndarray, iw: np.ndarray, k
 
 def tiles(doc: np.ndarray, item: np.ndarray, dw: np.ndarray, iw: np.ndarray, k: int = MIN_TILE) -> list[tuple[int, int, int]]:
     """(length, doc position, item position) of the tiles, longest first, ties to the earlier in doc, then item."""
-    heap = matches(doc, item, dw, iw, k)
+    heap = matches(dw, iw, k)
+    if heap is None:
+        return rounds(doc, item, k)
     heapq.heapify(heap)
     used_doc, used_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
     out = []
@@ -66,6 +72,52 @@ def tiles(doc: np.ndarray, item: np.ndarray, dw: np.ndarray, iw: np.ndarray, k:
     return out
 
 
+def rounds(doc: np.ndarray, item: np.ndarray, k: int = MIN_TILE) -> list[tuple[int, int, int]]:
+    """The same tiles in memory linear in the words, for sides that repeat themselves: round by round, the longest length at
+    which unmarked windows still match, found by bisection of running hashes, and all tiles of that length."""
+    size = max(len(doc), len(item)) + 1
+    up, down = (np.multiply.accumulate(np.concatenate([[U(1)], np.full(size, U(b))])) for b in (P, P_INV))
+    sums = [np.concatenate([[U(0)], np.cumsum((x | U(1)) * up[: len(x)])]) for x in (doc, item)]
+    free = [np.ones(len(x), bool) for x in (doc, item)]
+
+    def windows(side: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        taken = np.concatenate([[0], np.cumsum(~free[side])])
+        at = np.flatnonzero(taken[n:] == taken[:-n]) if n < len(taken) else np.zeros(0, np.int64)
+        return at, (sums[side][at + n] - sums[side][at]) * down[at]
+
+    def common(n: int) -> np.ndarray:
+        return np.intersect1d(windows(0, n)[1], windows(1, n)[1])
+
+    out = []
+    high = min(len(doc), len(item))
+    while high >= k:
+        low, top = k - 1, high
+        while low < top:
+            mid = (low + top + 1) // 2
+            low, top = (mid, top) if len(common(mid)) else (low, mid - 1)
+        high = low
+        if high < k:
+            break
+        both = common(high)
+        places: dict[int, list[int]] = {}
+        for j, h in zip(*(x[::-1].tolist() for x in windows(1, high)), strict=True):
+            places.setdefault(h, []).append(j)
+        at, hashes = windows(0, high)
+        live = np.isin(hashes, both)
+        for i, h in zip(at[live].tolist(), hashes[live].tolist(), strict=True):
+            if not free[0][i] or not free[0][i + high - 1]:
+                continue
+            stack = places[h]
+            while stack and not (free[1][stack[-1]] and free[1][stack[-1] + high - 1]):
+                stack.pop()
+            if stack:
+                j = stack.pop()
+                free[0][i : i + high] = free[1][j : j + high] = False
+                out.append((high, i, j))
+        high -= not len(common(high))
+    return out
+
+
 def probes(h: np.ndarray, bits: int):
     for i in range(PROBES):
         yield ((h + U(i) * ((h >> U(32)) | U(1))) & U(bits - 1)).astype(np.int64)
