@@ -113,3 +113,27 @@ def mix_copies(docs: DataFrame, **how) -> DataFrame:
     mixed = mix(docs, **how)
     copies = mixed.columns[-1]
     return mixed.where(F.col(copies) > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copy))
+
+
+#: op3_mix in DuckDB's SQL. Newton's fixed point is stated outright: the rate is target / words.
+ORACLE_SQL = f"""
+WITH sized AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS u FROM documents),
+hist AS (SELECT key, size, count(*) AS n FROM sized GROUP BY key, size),
+totals AS (SELECT key, CAST(sum(n * size) AS BIGINT) AS words FROM hist GROUP BY key),
+weighed AS (SELECT key, words, CAST([3, 1, 2][(row_number() OVER (ORDER BY key) - 1) % 3 + 1] AS DOUBLE) AS w, 2 * CAST(words AS DOUBLE) AS top FROM totals),
+levels AS (SELECT *, (CAST(1.5 AS DOUBLE) * sum(words) OVER () - coalesce(sum(top) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+    FROM weighed WINDOW before AS (ORDER BY top / w, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (SELECT key, words, CASE WHEN level >= top / w THEN top ELSE w * max(CASE WHEN level < top / w THEN level END) OVER () END AS target FROM levels),
+rates AS (SELECT *, CASE WHEN words > 0 AND target > 0 THEN least(target / words, CAST(2 AS DOUBLE)) ELSE CAST(0 AS DOUBLE) END AS rate FROM targets),
+parts AS (SELECT key, words, target, floor(rate + CAST(1e-9 AS DOUBLE)) AS base, greatest(CAST(0 AS DOUBLE), rate - floor(rate + CAST(1e-9 AS DOUBLE))) AS part FROM rates),
+dealt AS (SELECT s.*, CASE WHEN n > {PART} THEN CAST('0x' || substr(u, 1, 8) AS BIGINT) % CAST(ceil(n / {PART}) AS BIGINT) ELSE 0 END AS sub FROM sized s JOIN hist USING (key, size)),
+cells AS (SELECT key, size, sub, count(*) AS n, sum(count(*)) OVER (PARTITION BY key ORDER BY size DESC, sub) AS seen FROM dealt GROUP BY key, size, sub),
+spread AS (SELECT *, floor(seen * part + CAST(0.5 AS DOUBLE)) - floor((seen - n) * part + CAST(0.5 AS DOUBLE)) AS k FROM cells JOIN parts USING (key)),
+missing AS (SELECT *, target - sum(size * (base * n + k)) OVER (PARTITION BY key) AS miss FROM spread),
+frees AS (SELECT *, CASE WHEN size = 0 THEN 0 WHEN miss > 0 THEN CASE WHEN base < 2 THEN n - k ELSE 0 END ELSE k END AS free FROM missing),
+spent AS (SELECT *, coalesce(sum(free * size) OVER (PARTITION BY key ORDER BY size, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM frees),
+picked AS (SELECT *, k + sign(miss) * CASE WHEN size = 0 THEN 0 ELSE greatest(0, least(free, floor((abs(miss) - gone) / size))) END AS picks FROM spent),
+ranked AS (SELECT doc_id, key, size, sub, row_number() OVER (PARTITION BY key, size, sub ORDER BY u, doc_id) AS rank FROM dealt),
+copied AS (SELECT r.doc_id, r.size, p.words, p.target, CAST(p.base + CASE WHEN r.rank <= p.picks THEN 1 ELSE 0 END AS BIGINT) AS copies FROM ranked r JOIN picked p ON r.key = p.key AND r.size = p.size AND r.sub = p.sub)
+SELECT doc_id, size, words AS source_size, target, copies * size AS taken, copies FROM copied
+"""

@@ -1,10 +1,12 @@
 import re
 from collections import defaultdict
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import mix as M
-from palimpsest.llm.mix import mix, mix_copies, op3_mix
+from palimpsest.llm.mix import ORACLE_SQL, mix, mix_copies, op3_mix
 
 
 def targets(words):
@@ -50,6 +52,16 @@ def test_whole_table(spark, sf):
     assert again == {r.doc_id: r.taken for r in rows}
 
 
+@pytest.mark.parametrize("table", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_sql_twin(spark, table):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{table}/documents.parquet')")
+    said = db.execute(ORACLE_SQL)
+    names = [c[0] for c in said.description]
+    assert names == op3_mix(spark, table).columns
+    assert sorted(tuple(r) for r in op3_mix(spark, table).collect()) == sorted(said.fetchall())
+
+
 def test_hot_values_are_split(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(M, "PART", 10)
     rows = [(i, "hot" if i % 3 else ("b", "c", None)[i % 9 // 3], "w " * (4 if i % 2 else i % 7)) for i in range(700)]
