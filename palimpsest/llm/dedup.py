@@ -9,10 +9,10 @@ process ends once it is later than all registers of its document, so the work is
 Two documents agree in a register with a probability of exactly their weighted Jaccard similarity.
 
 Signatures are cut into bands. Texts of equal words are merged first. In each bucket of a band all documents are compared
-with one hub, by the exact multiset overlap of the whole texts. Buckets that then still span several classes are compared
-in full, in blocks of bounded size: signatures first, of which each block passes on a forest of possible links, then, in
+with one hub, by the exact multiset overlap of the whole texts. In buckets that then still span several classes all rows of
+different classes are compared, in blocks of bounded size: signatures first, of which each block passes on a forest of possible links, then, in
 the clusters that these connect, exact overlaps, of which each block passes on a forest of true links. So all rows of a
-bucket meet, while what is passed on stays linear; links are closed to classes.
+bucket meet that aren't in one class yet, while what is passed on stays linear; links are closed to classes.
 
 Null texts and texts without a word are in no group; null ids have a null class. Rows that share an id are one document,
 all of whose texts count. Repeated rows, ties and empty tables are fine. Other columns are not read.
@@ -171,13 +171,29 @@ def whole_groups(batches, keys: list[str]):
         yield pa.Table.from_batches(held)
 
 
+def homes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of groups whose rows are in several classes: keys, home (the class of the most rows), n_home, n_rest. Counted by class first."""
+    counts = rows.groupBy(*keys, "class").agg(F.count("*").alias("n"))
+    every = counts.groupBy(*keys).agg(F.max_by("class", F.struct("n", "class")).alias("home"), F.max("n").alias("n_home"), F.sum("n").alias("n_all"), F.count("*").alias("k"))
+    return every.where("k > 1").select(*keys, "home", "n_home", (F.col("n_all") - F.col("n_home")).alias("n_rest"))
+
+
 def blocked(rest: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of groups (keys, id, size: rows of the group, ...) dealt so that any two rows of a group meet in a block (keys, x, y) of about 2 * BLOCK rows at most."""
-    blocks = F.ceil(F.col("size") / BLOCK)
-    mine = F.pmod(F.xxhash64("id"), blocks)
-    rest = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rest = rest.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other")).drop("mine", "other", "size")
-    return rest.repartition(*keys, "x", "y").sortWithinPartitions(*keys, "x", "y")
+    """Rows of groups, joined with homes(), dealt so that any two rows of different classes meet in a block (keys, kind, x, y) of about 2 * BLOCK rows at most.
+
+    Rows of the home class need only meet the others: they go to one block for each BLOCK of those, so a large class
+    with a few rows beside it costs about its own size. kind 0: home against others, 1: others among themselves.
+    """
+    at_home = F.col("class") == F.col("home")
+    homes_, rests = F.ceil(F.col("n_home") / BLOCK), F.ceil(F.col("n_rest") / BLOCK)
+    rest = rest.withColumn("at_home", at_home).withColumn("mine", F.pmod(F.xxhash64("id"), F.when(at_home, homes_).otherwise(rests)))
+    cell = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.cast("long").alias("x"), y.cast("long").alias("y"))
+    mine, upto = F.col("mine"), lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    home_cells = F.transform(upto(rests), lambda r: cell(0, r, mine))
+    rest_cells = F.concat(F.transform(upto(homes_), lambda h: cell(0, mine, h)), F.transform(upto(rests), lambda r: cell(1, F.least(mine, r), F.greatest(mine, r))))
+    rest = rest.withColumn("cell", F.explode(F.when(at_home, home_cells).otherwise(rest_cells)))
+    rest = rest.select("*", "cell.kind", "cell.x", "cell.y").drop("mine", "cell", "home", "n_home", "n_rest")
+    return rest.repartition(*keys, "kind", "x", "y").sortWithinPartitions(*keys, "kind", "x", "y")
 
 
 def spanning(linked: np.ndarray) -> tuple[list[int], list[int]]:
@@ -200,12 +216,13 @@ def spanning(linked: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def alike(group: pa.Table) -> np.ndarray:
-    """Which rows of a block are in different classes and may be similar enough, by size and signature."""
-    cls, n = group.column("class").to_numpy(), group.column("n").to_numpy()
+    """Which rows of a block are in different classes (of kind 0: at home and not) and may be similar enough, by size and signature."""
+    n = group.column("n").to_numpy()
+    side = group.column("class" if group.column("kind")[0].as_py() else "at_home").to_numpy()
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(n), -1)
     out = np.zeros((len(n), len(n)), bool)
     for i in range(len(n)):
-        near = np.flatnonzero((cls != cls[i]) & (np.minimum(n[i], n) >= SIMILARITY * np.maximum(n[i], n)))
+        near = np.flatnonzero((side != side[i]) & (np.minimum(n[i], n) >= SIMILARITY * np.maximum(n[i], n)))
         out[i, near[(sig[near] == sig[i]).sum(axis=1) >= LEAST_MATCHES]] = True
     return out
 
@@ -216,11 +233,11 @@ def edges_of(ids: np.ndarray, forest: tuple[list[int], list[int]]) -> pa.RecordB
 
 
 def open_links(rest: DataFrame) -> DataFrame:
-    """(band, key, id, class, n, sig, size) -> edges (a, b) of a forest over what may be similar, from all rows of each bucket; a row less than each block has rows."""
+    """(band, key, id, class, n, sig; homes()) -> edges (a, b) of a forest over what may be similar, from all rows of each bucket; a row less than each block has rows."""
     keys = ["band", "key"]
 
     def compare(batches):
-        for group in whole_groups(batches, [*keys, "x", "y"]):
+        for group in whole_groups(batches, [*keys, "kind", "x", "y"]):
             cls = group.column("class").to_numpy()
             if not (cls == cls[0]).all():
                 yield edges_of(group.column("id").to_numpy(), spanning(alike(group)))
@@ -269,11 +286,11 @@ def similar(group: pa.Table) -> np.ndarray:
 
 
 def exact_links(rest: DataFrame) -> DataFrame:
-    """(cluster, id, class, n, sig, bag, size) -> edges (a, b) of a forest over the true links, from all rows of each cluster."""
+    """(cluster, id, class, n, sig, bag; homes()) -> edges (a, b) of a forest over the true links, from all rows of each cluster."""
     keys = ["cluster"]
 
     def compare(batches):
-        for group in whole_groups(batches, [*keys, "x", "y"]):
+        for group in whole_groups(batches, [*keys, "kind", "x", "y"]):
             cls = group.column("class").to_numpy()
             if not (cls == cls[0]).all():
                 yield edges_of(group.column("id").to_numpy(), spanning(similar(group)))
@@ -304,14 +321,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     tied = members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     classes = materialize(components(links.select("a", "b")))
     # What the hubs leave open: buckets of three or more whose documents are in several classes.
-    open_rows = rows.where("size > 2").join(classes, "id", "left").select("band", "key", "id", "n", "size", F.coalesce("class", "id").alias("class"))
-    mixed_up = open_rows.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band", "key")
-    rest = open_rows.join(mixed_up, ["band", "key"], "left_semi").join(sigs.select("id", "sig"), "id")
+    open_rows = rows.where("size > 2").join(classes, "id", "left").select("band", "key", "id", "n", F.coalesce("class", "id").alias("class"))
+    rest = open_rows.join(homes(open_rows, ["band", "key"]), ["band", "key"]).join(sigs.select("id", "sig"), "id")
     clusters = materialize(components(open_links(rest)).withColumnRenamed("class", "cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     bags = shingled(texts.join(clusters, "id", "left_semi"))
-    rows = clusters.join(sizes, "cluster").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")).join(sigs, "id").join(bags, "id")
-    more = materialize(exact_links(rows))
+    rows = clusters.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    more = materialize(exact_links(rows.join(homes(rows, ["cluster"]), "cluster").join(sigs, "id").join(bags, "id")))
     links = links.select("a", "b").union(more)
     # Ids of one text share its representative's class; an id with several texts joins theirs.
     several = members.groupBy("id").agg(F.count_distinct("rep").alias("k")).where("k > 1").select("id")
