@@ -2,27 +2,29 @@
 
 Subwords come from a public byte-pair vocabulary, whose path is a parameter; each word (a run without ASCII white space, A-Z
 lower-cased) is encoded with a space before it, and an end mark follows the last. The model has one masked attention
-layer over token and position embeddings, a residual path and a softmax over the TOP subwords most frequent in training, one
-class for all others, and the end; a subword of the class of others has its smoothed training frequency within it. It is
-trained with Adam on about TRAIN_TEXTS whole training texts that have the smallest hashes.
+layer over token and position embeddings, a residual path and a softmax in two levels (a cluster of classes of like frequency,
+then the class within) over the TOP subwords most frequent in training, one class for all others, and the end; a subword of
+the class of others has its smoothed training frequency within it.
+
+Words and subwords are counted over all training texts, and the output's biases start from these counts. The weights are
+trained with Adam, first on the driver with WARM_TEXTS whole texts of the smallest hashes, then by every task on the
+training texts of a hashed share of 1 in TRAIN_SHARE, which grows with the corpus; the tasks' weights are averaged by tokens.
 
 Texts are cut into blocks of STRIDE tokens; each block's queries attend, causally, to itself and the block before it, so
 windows of 2 * STRIDE overlap by half and every token is scored exactly once. Blocks of many texts form one batch, and the
-mask keeps out padding and later tokens.
+mask keeps out later tokens and padding.
 
-The base score is a smoothed unigram model of words, with counts over all training texts. Words with at least one in
-2 ** FREQUENT_BITS of all tokens (so 2 ** FREQUENT_BITS at most) are broadcast; all others are counted by text and joined with
-the table of counts.
+The base score is a smoothed unigram model of words. Words with at least one in 2 ** FREQUENT_BITS of all tokens (so
+2 ** FREQUENT_BITS at most) are broadcast; all others are counted by text and joined with the table of counts.
 
 Null texts count as empty and have the end mark alone. Repeated rows are scored each for itself. Without training texts the
-base score is 0 a token less nothing known, and the model is uniform. Empty tables give an empty result. Columns other than the
-id and text are not read.
+base score is 0 a token less nothing known, and the model knows subwords by the class of others alone. Empty tables give an
+empty result. Columns other than the id and text are not read.
 """
 
 from __future__ import annotations
 
 import base64
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,14 @@ from .tokens import U, Words, slices
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-TOP, WIDTH, STRIDE = 255, 24, 16
-TRAIN_TEXTS, STEPS, BATCH, RATE = 400, 600, 128, 1e-2
+#: CLUSTER classes form one cluster of the softmax; with the others and the end, TOP subwords fill 16.
+TOP, CLUSTER, WIDTH, STRIDE = 510, 32, 24, 16
+WARM_TEXTS, WARM_STEPS, BATCH, RATE = 400, 500, 128, 2e-2
+#: One training text in so many trains the tasks' weights, at the rate TASK_RATE.
+TRAIN_SHARE, TASK_RATE = 100, 1e-3
 FREQUENT_BITS = 17
-CACHE = 200_000
-#: Blocks scored at once.
-CHUNK = 128
+#: Blocks that attend at once, and so many times more of which the softmax is taken at once; logits that may exceed LIMIT are shifted by their largest.
+CHUNK, GROUP, LIMIT = 64, 16, 60.0
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -49,31 +53,42 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
+def bytes_of(words: Words, first: np.ndarray, before: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of words, by their places, one after the other, each with some bytes before it; their sizes."""
+    start = words.start[first] - before
+    size = words.end[first] - start
+    return words.data[np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)], size
+
+
 class Subwords:
-    """Words to subword ids, by a bounded cache."""
+    """Words to subword ids."""
 
     def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
 
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.cache: dict[int, list[int]] = {}
+        self.opens = np.zeros(max(ranks.values(), default=0) + 1, bool)
+        self.opens[[r for b, r in ranks.items() if b[:1] == b" "]] = True
+
+    def each(self, words: Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, by their places, in order; how many each has."""
+        return self.spaced(*bytes_of(words, first, 1))
+
+    def spaced(self, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words' bytes, each after a place for a space. They are encoded as one text: words hold no space, so a
+        subword that begins with one, and no other, begins a word."""
+        if not len(size):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        text[np.cumsum(size) - size] = 32
+        flat = np.array(self.encode(text.tobytes().decode("utf-8", "replace")), np.int64)
+        return flat, np.bincount(np.cumsum(self.opens[flat]) - 1, minlength=len(size))
 
     def of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and the text of each."""
         if not len(words.hash):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        found = []
-        data = words.data.tobytes()
-        for k, i in zip(keys.tolist(), first.tolist(), strict=True):
-            ids = self.cache.get(k)
-            if ids is None:
-                ids = self.cache[k] = self.encode(" " + data[words.start[i] : words.end[i]].decode("utf-8", "replace"))
-            found.append(ids)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for ids in found for x in ids), np.int64, int(size.sum()))
+        _, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+        flat, size = self.each(words, first)
         begin = np.cumsum(size) - size
         n = size[inverse]
         at = np.repeat(begin[inverse], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -95,58 +110,88 @@ def blocks(ids: np.ndarray, doc: np.ndarray, texts: int, begin: int, end: int, p
     return inputs.reshape(-1, STRIDE), targets.reshape(-1, STRIDE), owner, np.diff(owner, prepend=-1) != 0
 
 
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=-1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
+
+
 class Model:
-    """Classes: the top subwords, then others, then end; inputs have begin and pad besides."""
+    """Classes: the top subwords by falling frequency, then others, then end; inputs have begin and pad besides. counts: of all subwords."""
 
-    def __init__(self, top: list[int], others: np.ndarray, vocabulary: int, seed: int = 3):
+    def __init__(self, counts: np.ndarray, ends: int, seed: int = 3):
+        order = np.lexsort((np.arange(len(counts)), -counts))[:TOP]
+        top = order[counts[order] > 0]
         self.classes = len(top) + 2
         self.other, self.end, self.begin, self.pad = len(top), len(top) + 1, len(top) + 2, len(top) + 3
-        self.to_class = np.full(vocabulary, self.other)
+        self.to_class = np.full(len(counts), self.other)
         self.to_class[top] = np.arange(len(top))
-        weight = np.where(self.to_class == self.other, others + 0.5, 0.0)
-        self.within = np.zeros(vocabulary)
         inside = self.to_class == self.other
+        weight = np.where(inside, counts + 0.5, 0.0)
+        self.within = np.zeros(len(counts))
         self.within[inside] = np.log(weight[inside] / weight.sum())
-        rng, d = np.random.default_rng(seed), WIDTH
+        rng, d, c = np.random.default_rng(seed), WIDTH, -(-self.classes // CLUSTER)
         make = lambda *s: (rng.standard_normal(s) * s[0] ** -0.5).astype(np.float32)
-        self.p = {"E": (rng.standard_normal((self.classes + 2, d)) * 0.3).astype(np.float32), "P": np.zeros((2 * STRIDE, d), np.float32), "q": make(d, d), "k": make(d, d), "v": make(d, d), "o": make(d, d), "w": make(d, self.classes) * 0.3, "b": np.zeros(self.classes, np.float32)}
-        causal = np.arange(2 * STRIDE)[None, :] <= np.arange(STRIDE)[:, None] + STRIDE
-        self.mask = np.where(causal, 0, -1e9).astype(np.float32)
-
-    def forward(self, own: np.ndarray, before: np.ndarray):
-        """own, before: (rows, STRIDE) inputs, before all pad where a text begins. Log-probabilities of the classes and what training needs."""
+        often = np.zeros(c * CLUSTER)
+        often[: self.classes] = np.concatenate([counts[top], [counts[inside].sum(), ends]]) + 0.5
+        often = often.reshape(c, CLUSTER)
+        with np.errstate(divide="ignore"):  # places without a class have no probability
+            inner = np.maximum(np.log(often / often.sum(axis=1, keepdims=True)), -1e4)
+        self.p = {
+            "E": (rng.standard_normal((self.classes + 2, d)) * 0.3).astype(np.float32), "P": np.zeros((2 * STRIDE, d), np.float32), "q": make(d, d), "k": make(d, d), "v": make(d, d), "o": make(d, d),
+            "wc": make(d, c) * np.float32(0.1), "bc": np.log(often.sum(axis=1) / often.sum()).astype(np.float32), "wm": (rng.standard_normal((c, d, CLUSTER)) * 0.02).astype(np.float32), "bm": inner.astype(np.float32),
+        }
+        self.p["wm"] *= (inner > -1e4)[:, None, :]
+        self.causal = np.arange(2 * STRIDE)[None, :] <= np.arange(STRIDE)[:, None] + STRIDE
+
+    def attend(self, own: np.ndarray, before: np.ndarray):
+        """own, before: (rows, STRIDE) inputs, before all pad where a text begins. The output's inputs h and what training needs."""
         p, keys = self.p, np.concatenate([before, own], axis=1)
         kx = p["E"][keys] + p["P"]
         x = kx[:, STRIDE:]
         q, k, v = x @ p["q"], kx @ p["k"], kx @ p["v"]
-        s = (q @ k.transpose(0, 2, 1)) * np.float32(WIDTH**-0.5) + self.mask + np.where(keys == self.pad, np.float32(-1e9), np.float32(0))[:, None, :]
-        s -= s.max(axis=2, keepdims=True)
-        a = np.exp(s)
-        a /= a.sum(axis=2, keepdims=True)
+        s = (q @ k.transpose(0, 2, 1)) * WIDTH**-0.5
+        s = np.where(self.causal & (keys != self.pad)[:, None, :] | (own == self.pad)[:, :, None], s, -1e9)
+        a = np.exp(log_softmax(s))
         o = a @ v
-        h = x + o @ p["o"]
-        z = h @ p["w"] + p["b"]
-        z -= z.max(axis=2, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
-        return z, (keys, kx, x, q, k, v, a, o, h)
+        return x + o @ p["o"], (keys, kx, x, q, k, v, a, o)
+
+    def distribution(self, h: np.ndarray) -> np.ndarray:
+        """Log-probabilities of all classes for rows of h."""
+        p = self.p
+        z = log_softmax(h @ p["wc"] + p["bc"])[:, :, None] + log_softmax(np.einsum("nd,cdm->ncm", h, p["wm"]) + p["bm"])
+        return z.reshape(len(h), -1)[:, : self.classes]
 
     def gradients(self, own: np.ndarray, before: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss of the targets that aren't pad, and the gradient of each weight."""
         p, d = self.p, WIDTH
-        z, (keys, kx, x, q, k, v, a, o, h) = self.forward(own, before)
+        h, (keys, kx, x, q, k, v, a, o) = self.attend(own, before)
         live = targets != self.pad
         n = max(1, int(live.sum()))
-        r, c = np.nonzero(live)
-        loss = -float(z[r, c, targets[r, c]].sum()) / n
-        dz = np.exp(z) * live[:, :, None]
-        dz[r, c, targets[r, c]] -= 1
-        dz /= np.float32(n)
+        hl, t = h[live], targets[live]
+        cluster, member = t // CLUSTER, t % CLUSTER
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        g = {"w": flat(h).T @ flat(dz), "b": flat(dz).sum(axis=0)}
-        dh = dz @ p["w"].T
+
+        def output(h: np.ndarray, w: np.ndarray, b: np.ndarray, t: np.ndarray):
+            z = log_softmax(h @ w + b)
+            at = np.arange(len(t))
+            dz = np.exp(z)
+            dz[at, t] -= 1
+            dz /= n
+            return z[at, t].sum(), dz @ w.T, h.T @ dz, dz.sum(axis=0)
+
+        total, dhl, gw, gb = output(hl, p["wc"], p["bc"], cluster)
+        g = {"wc": gw, "bc": gb, "wm": np.zeros_like(p["wm"]), "bm": np.zeros_like(p["bm"])}
+        for c in np.unique(cluster):
+            rows = np.flatnonzero(cluster == c)
+            inner, dh, g["wm"][c], g["bm"][c] = output(hl[rows], p["wm"][c], p["bm"][c], member[rows])
+            total += inner
+            dhl[rows] += dh
+        dh = np.zeros_like(h)
+        dh[live] = dhl
         g["o"] = flat(o).T @ flat(dh)
         do = dh @ p["o"].T
         da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(d**-0.5)
+        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * d**-0.5
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         g["q"], g["k"], g["v"] = flat(x).T @ flat(dq), flat(kx).T @ flat(dk), flat(kx).T @ flat(dv)
         dkx = dk @ p["k"].T + dv @ p["v"].T
@@ -154,20 +199,23 @@ class Model:
         g["P"] = dkx.sum(axis=0)
         g["E"] = np.zeros_like(p["E"])
         np.add.at(g["E"], keys.ravel(), flat(dkx))
-        return loss, g
+        return -float(total) / n, g
 
-    def train(self, own: np.ndarray, before: np.ndarray, targets: np.ndarray, steps: int = STEPS, seed: int = 5) -> list[float]:
-        rng, m, v, losses = np.random.default_rng(seed), {}, {}, []
-        for t in range(1, steps + 1):
-            pick = rng.integers(0, len(own), min(BATCH, len(own)))
-            loss, g = self.gradients(own[pick], before[pick], targets[pick])
-            losses.append(loss)
-            rate = RATE * min(1, t / 20) * (1 - 0.9 * t / steps)
+    def trainer(self, rate):
+        """A function that takes a batch and makes one step of Adam; rate: of the step's number from 1."""
+        m, v, t = {}, {}, 0
+
+        def step(own: np.ndarray, before: np.ndarray, targets: np.ndarray) -> float:
+            nonlocal t
+            t += 1
+            loss, g = self.gradients(own, before, targets)
             for name, grad in g.items():
                 m[name] = 0.9 * m.get(name, 0) + 0.1 * grad
                 v[name] = 0.99 * v.get(name, 0) + 0.01 * grad**2
-                self.p[name] = (self.p[name] - rate * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-        return losses
+                self.p[name] = (self.p[name] - rate(t) * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            return loss
+
+        return step
 
     def rows(self, ids: np.ndarray, doc: np.ndarray, texts: int):
         own, targets, owner, first = blocks(self.to_class[ids] if len(ids) else ids, doc, texts, self.begin, self.end, self.pad)
@@ -176,101 +224,231 @@ class Model:
         return own, before, targets, owner
 
     def tables(self) -> dict[str, np.ndarray]:
-        """Each input's query, key and value (the last times o) for scoring, by token and by position."""
-        p, scale = self.p, np.float32(WIDTH**-0.5)
-        heads = {"q": p["q"] * scale, "k": p["k"], "v": p["v"] @ p["o"]}
-        out = {f"{side}{name}": p[side] @ w for name, w in heads.items() for side in ("E", "P")}
-        return out | {"w": np.vstack([p["w"], p["b"][None, :]])}
+        """For scoring, by input and place in the block: own has what is added to the output (with a 0), query, key, and value times o (with a 1);
+        past has key and value as seen from the next block. Then the output's weights with their biases as a last row, and whether logits stay small."""
+        p, d, scale = self.p, WIDTH, np.float32(WIDTH**-0.5)
+        side = lambda x: np.concatenate([x, x @ p["q"] * scale, x @ p["k"], x @ p["v"] @ p["o"]], axis=1).astype(np.float32)
+        e, at = side(p["E"]), side(p["P"])
+        own, past = (e[:, None, :] + x for x in (at[STRIDE:], at[:STRIDE]))
+        one = np.ones((*own.shape[:2], 1), np.float32)
+        own = np.concatenate([own[:, :, :d], 0 * one, own[:, :, d:], one], axis=2)
+        past = np.concatenate([past[:, :, 2 * d :], one], axis=2)
+        longest = lambda x: float(np.linalg.norm(x, axis=-1).max())
+        part = [longest(e[:, i : i + d]) + longest(at[:, i : i + d]) for i in range(0, 4 * d, d)]
+        out = (part[0] + part[3]) * max(longest(p["wc"].T), longest(p["wm"].transpose(0, 2, 1))) + max(0, float(p["bc"].max()), float(p["bm"].max()))
+        wide = {"wc": np.concatenate([p["wc"], p["bc"][None, :]]), "wm": np.concatenate([p["wm"], p["bm"][:, None, :]], axis=1)}
+        causal = self.causal[:, STRIDE:].astype(np.float32)
+        return {"own": own.reshape(-1, own.shape[2]), "past": past.reshape(-1, past.shape[2]), "causal": causal, "shift": part[1] * part[2] > LIMIT or out > LIMIT} | wide
 
     def score(self, ids: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
-        """Log10 probability of each text, its end included: forward() over look-up tables, with the targets' entries alone."""
-        own, before, targets, owner = self.rows(ids, doc, texts)
+        """Log10 probability of each text, its end included."""
+        own, targets, owner, first = blocks(self.to_class[ids] if len(ids) else ids, doc, texts, self.begin, self.end, self.pad)
         if not hasattr(self, "fast"):
             self.fast = self.tables()
-        f, out = self.fast, np.zeros(len(own))
-        padded = np.where(np.arange(self.classes + 2) == self.pad, np.float32(-1e9), np.float32(0))
-        x0, q0 = self.p["P"][STRIDE:], f["Pq"][STRIDE:]
-        for i in range(0, len(own), CHUNK):
-            mine, t = own[i : i + CHUNK], targets[i : i + CHUNK]
-            keys = np.concatenate([before[i : i + CHUNK], mine], axis=1)
-            s = (f["Eq"][mine] + q0) @ (f["Ek"][keys] + f["Pk"]).transpose(0, 2, 1)
-            s += self.mask
-            s += padded[keys][:, None, :]
-            a = np.exp(np.minimum(s, np.float32(80), out=s), out=s)
-            h = np.ones((*mine.shape, WIDTH + 1), np.float32)
-            h[:, :, :WIDTH] = (a @ (f["Ev"][keys] + f["Pv"])) / a.sum(axis=2, keepdims=True) + self.p["E"][mine] + x0
-            z = np.minimum(h.reshape(-1, WIDTH + 1) @ f["w"], np.float32(80))
-            flat = t.ravel()
-            live = flat != self.pad
-            got = z[np.arange(len(z)), np.where(live, flat, 0)] - np.log(np.exp(z, out=z).sum(axis=1))
-            out[i : i + CHUNK] = np.where(live, got, 0).reshape(t.shape).sum(axis=1, dtype=np.float64)
+        place = own * STRIDE + np.arange(STRIDE)
+        out, h = np.zeros(len(own)), np.empty((GROUP * CHUNK, STRIDE, WIDTH + 1), np.float32)
+        for i in range(0, len(own), GROUP * CHUNK):
+            end = min(i + GROUP * CHUNK, len(own))
+            for j in range(i, end, CHUNK):
+                k = min(j + CHUNK, end)
+                self.attended(place[j:k], place[j - 1 : k - 1] if j else np.concatenate([place[:1], place[: k - 1]]), first[j:k], h[j - i : k - i])
+            out[i:end] = self.log_likelihood(h[: end - i].reshape(-1, WIDTH + 1), targets[i:end])
         total = np.bincount(owner, weights=out, minlength=texts)
         if len(ids):
             total += np.bincount(doc, weights=self.within[ids], minlength=texts)
         return total / np.log(10)
 
-
-def fit(train: DataFrame, ranks: dict[bytes, int]) -> Model:
-    """(text) -> the model, from the TRAIN_TEXTS texts with the smallest hashes (more only by equal hashes of equal texts, which count once)."""
+    def attended(self, place: np.ndarray, before: np.ndarray, first: np.ndarray, out: np.ndarray) -> None:
+        """The output's inputs, with a 1 at the end, of blocks; before: the places of the block before each."""
+        f, d = self.fast, WIDTH
+        g, p = f["own"].take(place, axis=0), f["past"].take(before, axis=0)
+        p[first, :, d:] = 0  # nothing, and no weight, where a text begins
+        q = g[:, :, d + 1 : 2 * d + 1]
+        a, b = q @ p[:, :, :d].transpose(0, 2, 1), q @ g[:, :, 2 * d + 1 : 3 * d + 1].transpose(0, 2, 1)
+        if f["shift"]:
+            a[first] = -np.inf
+            b[:, f["causal"] == 0] = -np.inf
+            top = np.maximum(a.max(axis=2, keepdims=True), b.max(axis=2, keepdims=True))
+            a -= top
+            b -= top
+        np.exp(a, out=a)
+        np.exp(b, out=b)
+        b *= f["causal"]
+        o = a @ p[:, :, d:]
+        o += b @ g[:, :, 3 * d + 1 :]  # the last column is the sum of the weights
+        np.divide(o, o[:, :, d:], out=out)
+        out += g[:, :, : d + 1]
+
+    def log_likelihood(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Log probability of each block's targets."""
+        f, t = self.fast, targets.ravel()
+        live = np.flatnonzero(t != self.pad)
+        t = t[live]
+        order = np.argsort((t // CLUSTER).astype(np.uint8), kind="stable")
+        live, t = live[order], t[order]
+        h, cluster = h[live], t // CLUSTER
+
+        def output(z: np.ndarray, t: np.ndarray) -> np.ndarray:
+            if f["shift"]:
+                z -= z.max(axis=1, keepdims=True)
+            own = z[np.arange(len(t)), t]
+            return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
+
+        got = output(h @ f["wc"], cluster)
+        edge = np.concatenate([[0], np.cumsum(np.bincount(cluster, minlength=len(f["wm"])))])
+        for c in np.flatnonzero(np.diff(edge)):
+            x, y = edge[c], edge[c + 1]
+            got[x:y] += output(h[x:y] @ f["wm"][c], t[x:y] % CLUSTER)
+        whole = np.zeros(targets.size)
+        whole[live] = got
+        return whole.reshape(targets.shape).sum(axis=1)
+
+
+def warm(model: Model, train: DataFrame, ranks: dict[bytes, int]) -> Model:
+    """Train on the WARM_TEXTS texts with the smallest hashes (more only by equal hashes of equal texts, which count once)."""
     h = F.xxhash64("text")
-    least = train.where("text is not null").select(h.alias("h")).distinct().orderBy("h").limit(TRAIN_TEXTS).agg(F.max("h")).first()[0]
+    least = train.where("text is not null").select(h.alias("h")).distinct().orderBy("h").limit(WARM_TEXTS).agg(F.max("h")).first()[0]
     texts = sorted({r.text for r in train.where(h <= least).select("text").distinct().collect()}) if least is not None else []
-    vocabulary = max(ranks.values(), default=0) + 1
-    words = Words(pa.array(texts, pa.string()))
-    ids, doc = Subwords(ranks).of(words)
-    often = Counter(ids.tolist())
-    top = sorted(sorted(often, key=lambda x: (-often[x], x))[:TOP])
-    model = Model(top, np.bincount(ids, minlength=vocabulary) if len(ids) else np.zeros(vocabulary), vocabulary)
     if texts:
-        own, before, targets, _ = model.rows(ids, doc, len(texts))
-        model.train(own, before, targets)
-    else:
-        model.p["w"][:] = 0
+        own, before, targets, _ = model.rows(*Subwords(ranks).of(Words(pa.array(texts, pa.string()))), len(texts))
+        rng, step = np.random.default_rng(5), model.trainer(lambda t: RATE * min(1, t / 20) * (1 - 0.9 * t / WARM_STEPS))
+        for _ in range(WARM_STEPS):
+            pick = rng.integers(0, len(own), min(BATCH, len(own)))
+            step(own[pick], before[pick], targets[pick])
+    return model
+
+
+def refine(model: Model, train: DataFrame, ranks) -> Model:
+    """Every task trains on its own share of texts from the same weights, which are then averaged by tokens, in parts and then on the driver."""
+    shared = train.sparkSession.sparkContext.broadcast(model)
+    names = list(model.p)
+
+    def learn(batches):
+        own_model, subwords, held, tokens = shared.value, Subwords(ranks.value), [], 0
+        own_model.p = dict(own_model.p)
+        step, rng = own_model.trainer(lambda t: TASK_RATE), np.random.default_rng(7)
+
+        def spend(least: int):
+            nonlocal held
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            order = rng.permutation(len(rows[0]))
+            while len(order) >= least:
+                pick, order = order[:BATCH], order[BATCH:]
+                step(*(x[pick] for x in rows))
+            held = [tuple(x[order] for x in rows)]
+
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                own, before, targets, _ = own_model.rows(*subwords.of(Words(batch.column(0).slice(a, b - a))), b - a)
+                tokens += int((targets != own_model.pad).sum())
+                held.append((own, before, targets))
+                if sum(len(x[0]) for x in held) > 64 * BATCH:
+                    spend(BATCH)
+        if held:
+            spend(1)
+            flat = np.concatenate([own_model.p[k].ravel() for k in names]).astype(np.float64) * tokens
+            yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([flat.tobytes()], pa.binary())], ["tokens", "weights"])
+
+    def add(batches):
+        total, weights = 0, 0
+        for batch in batches:
+            for n, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total, weights = total + n, weights + np.frombuffer(w)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([weights.tobytes()], pa.binary())], ["tokens", "weights"])
+
+    kind = "tokens long, weights binary"
+    share = train.where(F.pmod(F.xxhash64("text", F.lit("share")), F.lit(TRAIN_SHARE)) == 0).select("text")
+    sums = materialize(share.mapInArrow(learn, kind).repartition(32).mapInArrow(add, kind))
+    total, weights = 0, 0
+    for row in sums.toLocalIterator():
+        total, weights = total + row.tokens, weights + np.frombuffer(row.weights)
+    if total:
+        at = 0
+        for k in names:
+            size = model.p[k].size
+            model.p[k] = (weights[at : at + size] / total).astype(np.float32).reshape(model.p[k].shape)
+            at += size
     return model
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    """(text) -> (h, n) of every word, each task's counts summed in parts before the shuffle."""
+    """(text) -> (h, n, word) of every word and its hash, each task's counts summed in parts before the shuffle. Words of one hash are one."""
 
     def count(batches):
         held: list = []
 
         def flush():
-            keys, inverse = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            keys, first, inverse = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
             n = np.bincount(inverse, weights=np.concatenate([x[1] for x in held])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.concat_arrays([x[2] for x in held]).take(pa.array(first))], ["h", "n", "word"])
 
         for batch in batches:
             for a, b in slices(batch.column(0)):
-                held.append(np.unique(Words(batch.column(0).slice(a, b - a)).hash, return_counts=True))
-                if sum(len(x[0]) for x in held) > 1_000_000:
+                words = Words(batch.column(0).slice(a, b - a))
+                keys, first, n = np.unique(words.hash, return_index=True, return_counts=True)
+                data, size = bytes_of(words, first)
+                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+                held.append((keys, n, pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())))
+                if sum(len(x[0]) for x in held) > 500_000:
                     yield flush()
                     held = []
         if held:
             yield flush()
 
-    return train.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    # By hash alone, so that both sums need one shuffle; the first is a hash aggregate, which a maximum of words would not be.
+    parts = train.select("text").mapInArrow(count, "h long, n long, word binary").repartition("h")
+    return parts.groupBy("h", "word").agg(F.sum("n").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.first("word").alias("word"))
+
+
+def subword_counts(counts: DataFrame, ranks) -> np.ndarray:
+    """The count of each subword: each distinct word is encoded once. Tasks send the vocabulary's size at most, summed before the driver."""
+    size = max(ranks.value.values(), default=0) + 1
+
+    def count(batches):
+        subwords, pieces = Subwords(ranks.value), np.zeros(size, np.int64)
+        for batch in batches:
+            column = batch.column("word")
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            if not len(column):
+                continue
+            data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+            length = np.diff(offsets)
+            text = np.zeros(length.sum() + len(length), np.uint8)
+            at = np.repeat(np.arange(len(length)) + 1 - offsets[0], length) + np.arange(offsets[0], offsets[-1])
+            text[at] = data[offsets[0] : offsets[-1]]
+            flat, n = subwords.spaced(text, length + 1)
+            pieces += np.bincount(flat, weights=np.repeat(batch.column("n").to_numpy(), n), minlength=size).astype(np.int64)
+        have = np.flatnonzero(pieces)
+        yield pa.RecordBatch.from_arrays([pa.array(have), pa.array(pieces[have])], ["id", "n"])
+
+    out = np.zeros(size, np.int64)
+    for row in counts.select("word", "n").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[row.id] = row.n
+    return out
 
 
 def scored(docs: DataFrame, train: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, held_out, text) of docs and (text) of training -> the columns of op7."""
     spark = docs.sparkSession
     small_batches(spark)
-    ranks = load_ranks(tokenizer)
+    vocabulary = load_ranks(tokenizer)
+    ranks = spark.sparkContext.broadcast(vocabulary)
     counts = materialize(word_counts(train))
     ends = train.count()
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = whole.n + ends, whole.v + (ends > 0)
     floor = max(1, -(-total // (1 << FREQUENT_BITS)))
-    frequent = counts.where(F.col("n") >= floor).toArrow()
+    frequent = counts.where(F.col("n") >= floor).select("h", "n").toArrow()
     order = np.argsort(frequent.column("h").to_numpy())
     known = (frequent.column("h").to_numpy()[order], frequent.column("n").to_numpy()[order])
-    shared = spark.sparkContext.broadcast((fit(train, ranks), ranks, known))
+    model = refine(warm(Model(subword_counts(counts, ranks), ends), train, vocabulary), train, ranks)
+    shared = spark.sparkContext.broadcast((model, known))
     bottom = total + 0.5 * (distinct + 1)
 
     def score(batches):
-        model, ranks, (hashes, n) = shared.value
-        subwords = Subwords(ranks)
+        model, (hashes, n) = shared.value
+        subwords = Subwords(ranks.value)
         log = np.log10((n + 0.5) / bottom)
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -297,7 +475,7 @@ def scored(docs: DataFrame, train: DataFrame, tokenizer: str = TOKENIZER) -> Dat
     part = docs.select("doc_id", "held_out", F.col("text").cast("string").alias("text")).mapInArrow(score, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, seen long, base double, score double, words array<long>, times array<int>")
     part = materialize(part)
     rare = part.select("uid", F.explode(F.arrays_zip("words", "times")).alias("w")).select("uid", F.col("w.words").alias("h"), F.col("w.times").alias("times"))
-    rare = rare.join(counts.where(F.col("n") < floor), "h", "left")
+    rare = rare.join(counts.where(F.col("n") < floor).select("h", "n"), "h", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(bottom)))
     sums = rare.groupBy("uid").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))
     out = part.drop("words", "times").join(sums, "uid", "left")
