@@ -20,6 +20,7 @@ from .runtime import fresh, table
 
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 LEVELS = 4
+RUN = 256
 
 
 def normal(text: Column) -> Column:
@@ -41,22 +42,41 @@ def phrase(norm: Column, words: Column, what: str) -> Column:
     return F.when(F.contains(norm, F.lit(f" {what} ")), found).otherwise(none)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def detections(norm: Column) -> Column:
     """Structs (start, -end, -priority, order, label) of all matches of all rules, sorted."""
     table_of = F.array(*[F.struct(F.lit(lab).alias("label"), F.lit(p).alias("priority"), F.lit(k).alias("keyword"), F.lit(f"(?<= )(?:{x})(?= )").alias("expression"), F.lit(i).alias("order")) for i, (lab, p, k, x) in enumerate(rules())])
 
     def places(r: Column) -> Column:
-        found = F.regexp_extract_all(norm, r["expression"], F.lit(0))
-        gaps = F.split(norm, r["expression"], -1)
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,priority:int,order:int,label:string>>").alias("out"))
-
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(gaps, i))
-            end = start + F.length(F.get(found, i))
-            one = F.struct(start.alias("start"), (-end).alias("end"), (-r["priority"]).alias("priority"), r["order"].alias("order"), r["label"].alias("label"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-        return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), empty, step)["out"]).otherwise(empty["out"])
+        """In runs of RUN matches, so that growing the list costs no square of their number."""
+        kind = "array<struct<start:int,end:int,priority:int,order:int,label:string>>"
+
+        def one(acc: Column, m: Column) -> Column:
+            start = acc["at"] + m["gap"]
+            end = start + m["size"]
+            found = F.struct(start.alias("start"), (-end).alias("end"), (-r["priority"]).alias("priority"), r["order"].alias("order"), r["label"].alias("label"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+
+        def run(matches: Column):
+            def step(acc: Column, i: Column) -> Column:
+                inner = F.aggregate(F.slice(matches, i, RUN), F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out")), one)
+                return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+            return step
+
+        def listed(matches: Column) -> Column:
+            start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+            runs = F.aggregate(F.sequence(F.lit(1), F.size(matches), F.lit(RUN)), start, run(matches))
+            return F.when(F.size(matches) > 0, F.flatten(runs["out"])).otherwise(F.array().cast(kind))
+
+        sizes = lambda texts: F.transform(texts, lambda x: F.length(x))
+        found, gaps = sizes(F.regexp_extract_all(norm, r["expression"], F.lit(0))), sizes(F.split(norm, r["expression"], -1))
+        matches = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("size")))
+        return let(F.slice(matches, 1, F.size(matches) - 1), listed)  # what follows the last match is no match
 
     return F.sort_array(F.flatten(F.transform(F.filter(table_of, lambda r: F.contains(norm, r["keyword"])), places)))
 

@@ -65,6 +65,12 @@ def test_texts(spark):
     assert scan(docs.limit(0)).collect() == []
 
 
+def test_very_many_detections(spark):
+    """More than one run of matches, and text before and after them."""
+    texts = {0: "x " * 50_000 + "mit license " * 1500 + "apache license version 2.0 " * 300 + "y"}
+    check(scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
+
+
 @pytest.mark.parametrize("rule", rules()[::9])
 def test_keywords_are_in_every_match(rule):
     label, priority, keyword, expression = rule
