@@ -7,6 +7,7 @@ where it becomes `isNull OR inverse`, which Parquet scans can use; `NOT coalesce
 from __future__ import annotations
 
 import datetime as dt
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -93,6 +94,10 @@ def equal(index: Index, field: str, kind: T.DataType, value, negated: bool) -> C
         if negated:
             return column(field).isNull() | compare(index, field, kind, "lt", value) | compare(index, field, kind, "gt", value)
         return compare(index, field, kind, "ge", value) & compare(index, field, kind, "le", value)
+    if isinstance(kind, T.IntegralType):
+        if not value.is_integer() or abs(value) >= 2**63:  # no whole number is equal
+            return F.lit(negated)
+        return ~column(field).eqNullSafe(F.lit(int(value))) if negated else column(field) == F.lit(int(value))
     c = index.read(field, kind)
     return ~c.eqNullSafe(F.lit(value)) if negated else c == F.lit(value)
 
@@ -107,4 +112,9 @@ def compare(index: Index, field: str, kind: T.DataType, op: str, value) -> Colum
             return column(field).isNotNull() & F.lit(op == "le")
         at = F.lit(day.isoformat()).cast("timestamp_ntz" if isinstance(kind, T.TimestampNTZType) else "timestamp")
         return column(field) >= at if op in ("gt", "ge") else column(field) < at
+    if isinstance(kind, T.IntegralType):
+        # With a whole number as the bound the scan can use the filter, which it can't below a cast to double. NaN is above all numbers.
+        if math.isnan(value) or abs(value) >= 2**63:
+            return column(field).isNotNull() & F.lit((op in ("lt", "le")) == (not value < 0))
+        return APPLY[op](column(field), F.lit((math.floor if op in ("gt", "le") else math.ceil)(value)))
     return APPLY[op](index.read(field, kind), F.lit(value))
