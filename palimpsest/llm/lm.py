@@ -3,12 +3,13 @@
 Subwords come from a public byte-pair vocabulary, whose path is a parameter; each word (a run without ASCII white space, A-Z
 lower-cased) is encoded with a space before it, and an end mark follows the last. The model has one masked attention
 layer over token and position embeddings, a residual path and a softmax in two levels (a cluster of classes of like frequency,
-then the class within) over the TOP subwords most frequent in training, one class for all others, and the end; a subword of
-the class of others has its smoothed training frequency within it.
+then the class within) over all subwords of training (the TOP most frequent, if TOP is set), one class for all others, and the
+end; a subword of the class of others has its smoothed training frequency within it.
 
 Words and subwords are counted over all training texts, and the output's biases start from these counts. The weights are
-trained with Adam, first on the driver with WARM_TEXTS whole texts of the smallest hashes, then by every task on the
-training texts of a hashed share of 1 in TRAIN_SHARE, which grows with the corpus; the tasks' weights are averaged by tokens.
+trained with Adam, first on the driver with WARM_TEXTS whole texts of the smallest hashes, then on all training texts (1 in
+TRAIN_SHARE by hash) in ROUNDS rounds, each over its hashed part of them: every task trains on its texts of the round's
+part, the tasks' weights are averaged by tokens, and the next round starts from these.
 
 Texts are cut into blocks of STRIDE tokens; each block's queries attend, causally, to itself and the block before it, so
 windows of 2 * STRIDE overlap by half and every token is scored exactly once. Blocks of many texts form one batch, and the
@@ -37,11 +38,11 @@ from .tokens import U, Words, slices
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: CLUSTER classes form one cluster of the softmax; with the others and the end, TOP subwords fill 16.
-TOP, CLUSTER, WIDTH, STRIDE = 510, 32, 24, 16
+#: CLUSTER classes at least form one cluster of the softmax, and as many as there are clusters. TOP: bound on the subwords that are classes of their own; None: all of training.
+TOP, CLUSTER, WIDTH, STRIDE = None, 32, 24, 16
 WARM_TEXTS, WARM_STEPS, BATCH, RATE = 400, 500, 128, 2e-2
-#: One training text in so many trains the tasks' weights, at the rate TASK_RATE.
-TRAIN_SHARE, TASK_RATE = 100, 1e-3
+#: One training text in so many trains the tasks' weights, at the rate TASK_RATE, in so many averaging rounds.
+TRAIN_SHARE, TASK_RATE, ROUNDS = 1, 1e-3, 4
 FREQUENT_BITS = 17
 #: Blocks that attend at once, and so many times more of which the softmax is taken at once; logits that may exceed LIMIT are shifted by their largest.
 CHUNK, GROUP, LIMIT = 64, 16, 60.0
@@ -129,16 +130,17 @@ class Model:
         weight = np.where(inside, counts + 0.5, 0.0)
         self.within = np.zeros(len(counts))
         self.within[inside] = np.log(weight[inside] / weight.sum())
-        rng, d, c = np.random.default_rng(seed), WIDTH, -(-self.classes // CLUSTER)
+        self.cluster = max(CLUSTER, int(np.ceil(self.classes**0.5)))
+        rng, d, c = np.random.default_rng(seed), WIDTH, -(-self.classes // self.cluster)
         make = lambda *s: (rng.standard_normal(s) * s[0] ** -0.5).astype(np.float32)
-        often = np.zeros(c * CLUSTER)
+        often = np.zeros(c * self.cluster)
         often[: self.classes] = np.concatenate([counts[top], [counts[inside].sum(), ends]]) + 0.5
-        often = often.reshape(c, CLUSTER)
+        often = often.reshape(c, self.cluster)
         with np.errstate(divide="ignore"):  # places without a class have no probability
             inner = np.maximum(np.log(often / often.sum(axis=1, keepdims=True)), -1e4)
         self.p = {
             "E": (rng.standard_normal((self.classes + 2, d)) * 0.3).astype(np.float32), "P": np.zeros((2 * STRIDE, d), np.float32), "q": make(d, d), "k": make(d, d), "v": make(d, d), "o": make(d, d),
-            "wc": make(d, c) * np.float32(0.1), "bc": np.log(often.sum(axis=1) / often.sum()).astype(np.float32), "wm": (rng.standard_normal((c, d, CLUSTER)) * 0.02).astype(np.float32), "bm": inner.astype(np.float32),
+            "wc": make(d, c) * np.float32(0.1), "bc": np.log(often.sum(axis=1) / often.sum()).astype(np.float32), "wm": (rng.standard_normal((c, d, self.cluster)) * 0.02).astype(np.float32), "bm": inner.astype(np.float32),
         }
         self.p["wm"] *= (inner > -1e4)[:, None, :]
         self.causal = np.arange(2 * STRIDE)[None, :] <= np.arange(STRIDE)[:, None] + STRIDE
@@ -168,7 +170,7 @@ class Model:
         live = targets != self.pad
         n = max(1, int(live.sum()))
         hl, t = h[live], targets[live]
-        cluster, member = t // CLUSTER, t % CLUSTER
+        cluster, member = t // self.cluster, t % self.cluster
         flat = lambda t: t.reshape(-1, t.shape[-1])
 
         def output(h: np.ndarray, w: np.ndarray, b: np.ndarray, t: np.ndarray):
@@ -197,8 +199,7 @@ class Model:
         dkx = dk @ p["k"].T + dv @ p["v"].T
         dkx[:, STRIDE:] += dh + dq @ p["q"].T
         g["P"] = dkx.sum(axis=0)
-        g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], keys.ravel(), flat(dkx))
+        g["E"] = np.stack([np.bincount(keys.ravel(), weights=x, minlength=len(p["E"])) for x in flat(dkx).T], axis=1).astype(p["E"].dtype)
         return -float(total) / n, g
 
     def trainer(self, rate):
@@ -224,44 +225,43 @@ class Model:
         return own, before, targets, owner
 
     def tables(self) -> dict[str, np.ndarray]:
-        """For scoring, by input and place in the block: own has what is added to the output (with a 0), query, key, and value times o (with a 1);
-        past has key and value as seen from the next block. Then the output's weights with their biases as a last row, and whether logits stay small."""
+        """For scoring, the parts of the input and of the place in the block, which are added up: own has what is added to the output (with a 0), query, key, and
+        value times o (with a 1); past has key and value as seen from the next block. Then the output's weights with their biases as a last row, and whether logits stay small."""
         p, d, scale = self.p, WIDTH, np.float32(WIDTH**-0.5)
         side = lambda x: np.concatenate([x, x @ p["q"] * scale, x @ p["k"], x @ p["v"] @ p["o"]], axis=1).astype(np.float32)
         e, at = side(p["E"]), side(p["P"])
-        own, past = (e[:, None, :] + x for x in (at[STRIDE:], at[:STRIDE]))
-        one = np.ones((*own.shape[:2], 1), np.float32)
-        own = np.concatenate([own[:, :, :d], 0 * one, own[:, :, d:], one], axis=2)
-        past = np.concatenate([past[:, :, 2 * d :], one], axis=2)
+        own = lambda x, one: np.concatenate([x[:, :d], np.zeros((len(x), 1), np.float32), x[:, d:], np.full((len(x), 1), one, np.float32)], axis=1)
+        past = lambda x, one: np.concatenate([x[:, 2 * d :], np.full((len(x), 1), one, np.float32)], axis=1)
         longest = lambda x: float(np.linalg.norm(x, axis=-1).max())
         part = [longest(e[:, i : i + d]) + longest(at[:, i : i + d]) for i in range(0, 4 * d, d)]
         out = (part[0] + part[3]) * max(longest(p["wc"].T), longest(p["wm"].transpose(0, 2, 1))) + max(0, float(p["bc"].max()), float(p["bm"].max()))
         wide = {"wc": np.concatenate([p["wc"], p["bc"][None, :]]), "wm": np.concatenate([p["wm"], p["bm"][:, None, :]], axis=1)}
         causal = self.causal[:, STRIDE:].astype(np.float32)
-        return {"own": own.reshape(-1, own.shape[2]), "past": past.reshape(-1, past.shape[2]), "causal": causal, "shift": part[1] * part[2] > LIMIT or out > LIMIT} | wide
+        return {"own": own(e, 1), "own_at": own(at[STRIDE:], 0), "past": past(e, 1), "past_at": past(at[:STRIDE], 0), "causal": causal, "shift": part[1] * part[2] > LIMIT or out > LIMIT} | wide
 
     def score(self, ids: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
         """Log10 probability of each text, its end included."""
         own, targets, owner, first = blocks(self.to_class[ids] if len(ids) else ids, doc, texts, self.begin, self.end, self.pad)
         if not hasattr(self, "fast"):
             self.fast = self.tables()
-        place = own * STRIDE + np.arange(STRIDE)
         out, h = np.zeros(len(own)), np.empty((GROUP * CHUNK, STRIDE, WIDTH + 1), np.float32)
         for i in range(0, len(own), GROUP * CHUNK):
             end = min(i + GROUP * CHUNK, len(own))
             for j in range(i, end, CHUNK):
                 k = min(j + CHUNK, end)
-                self.attended(place[j:k], place[j - 1 : k - 1] if j else np.concatenate([place[:1], place[: k - 1]]), first[j:k], h[j - i : k - i])
+                self.attended(own[j:k], own[j - 1 : k - 1] if j else np.concatenate([own[:1], own[: k - 1]]), first[j:k], h[j - i : k - i])
             out[i:end] = self.log_likelihood(h[: end - i].reshape(-1, WIDTH + 1), targets[i:end])
         total = np.bincount(owner, weights=out, minlength=texts)
         if len(ids):
             total += np.bincount(doc, weights=self.within[ids], minlength=texts)
         return total / np.log(10)
 
-    def attended(self, place: np.ndarray, before: np.ndarray, first: np.ndarray, out: np.ndarray) -> None:
-        """The output's inputs, with a 1 at the end, of blocks; before: the places of the block before each."""
+    def attended(self, own: np.ndarray, before: np.ndarray, first: np.ndarray, out: np.ndarray) -> None:
+        """The output's inputs, with a 1 at the end, of blocks; before: the block before each."""
         f, d = self.fast, WIDTH
-        g, p = f["own"].take(place, axis=0), f["past"].take(before, axis=0)
+        g, p = f["own"].take(own, axis=0), f["past"].take(before, axis=0)
+        g += f["own_at"]
+        p += f["past_at"]
         p[first, :, d:] = 0  # nothing, and no weight, where a text begins
         q = g[:, :, d + 1 : 2 * d + 1]
         a, b = q @ p[:, :, :d].transpose(0, 2, 1), q @ g[:, :, 2 * d + 1 : 3 * d + 1].transpose(0, 2, 1)
@@ -284,9 +284,9 @@ class Model:
         f, t = self.fast, targets.ravel()
         live = np.flatnonzero(t != self.pad)
         t = t[live]
-        order = np.argsort((t // CLUSTER).astype(np.uint8), kind="stable")
+        order = np.argsort((t // self.cluster).astype(np.uint16), kind="stable")
         live, t = live[order], t[order]
-        h, cluster = h[live], t // CLUSTER
+        h, cluster = h[live], t // self.cluster
 
         def output(z: np.ndarray, t: np.ndarray) -> np.ndarray:
             if f["shift"]:
@@ -298,7 +298,7 @@ class Model:
         edge = np.concatenate([[0], np.cumsum(np.bincount(cluster, minlength=len(f["wm"])))])
         for c in np.flatnonzero(np.diff(edge)):
             x, y = edge[c], edge[c + 1]
-            got[x:y] += output(h[x:y] @ f["wm"][c], t[x:y] % CLUSTER)
+            got[x:y] += output(h[x:y] @ f["wm"][c], t[x:y] % self.cluster)
         whole = np.zeros(targets.size)
         whole[live] = got
         return whole.reshape(targets.shape).sum(axis=1)
@@ -319,7 +319,15 @@ def warm(model: Model, train: DataFrame, ranks: dict[bytes, int]) -> Model:
 
 
 def refine(model: Model, train: DataFrame, ranks) -> Model:
-    """Every task trains on its own share of texts from the same weights, which are then averaged by tokens, in parts and then on the driver."""
+    """ROUNDS rounds, each over its part of the texts, which together are all that train."""
+    part = F.pmod(F.xxhash64("text", F.lit("share")), F.lit(TRAIN_SHARE * ROUNDS))
+    for i in range(ROUNDS):
+        model = averaged(model, train.where(part == i * TRAIN_SHARE).select("text"), ranks)
+    return model
+
+
+def averaged(model: Model, train: DataFrame, ranks) -> Model:
+    """Every task trains on its own texts from the same weights, which are then averaged by tokens, in parts and then on the driver."""
     shared = train.sparkSession.sparkContext.broadcast(model)
     names = list(model.p)
 
@@ -358,8 +366,7 @@ def refine(model: Model, train: DataFrame, ranks) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([weights.tobytes()], pa.binary())], ["tokens", "weights"])
 
     kind = "tokens long, weights binary"
-    share = train.where(F.pmod(F.xxhash64("text", F.lit("share")), F.lit(TRAIN_SHARE)) == 0).select("text")
-    sums = materialize(share.mapInArrow(learn, kind).repartition(32).mapInArrow(add, kind))
+    sums = materialize(train.mapInArrow(learn, kind).repartition(32).mapInArrow(add, kind))
     total, weights = 0, 0
     for row in sums.toLocalIterator():
         total, weights = total + row.tokens, weights + np.frombuffer(row.weights)

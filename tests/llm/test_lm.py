@@ -103,6 +103,20 @@ def test_subword_counts(spark):
     assert {i: n for i, n in enumerate(got) if n} == Counter(i for t in texts for w in words_of(t) for i in s.encode(" " + w))
 
 
+def test_all_texts_and_subwords_train(spark):
+    """Each subword of training is a class, and each text, having a subword of its own, moves that subword's weights."""
+    ranks = load_ranks(TOKENIZER)
+    own = sorted(b for b in ranks if b[:1] == b" " and b[1:].isalpha() and b.islower())[:900]
+    train = spark.createDataFrame([((b.decode() + " ") * 3,) for b in own], "text string").repartition(3)
+    counts = np.zeros(max(ranks.values()) + 1, np.int64)
+    counts[[ranks[b] for b in own]] = 3
+    m = Model(counts, len(own))
+    assert m.classes == len(own) + 2
+    before, moved = m.p["E"].copy(), m.to_class[[ranks[b] for b in own]]
+    after = lm.refine(m, train, spark.sparkContext.broadcast(ranks)).p["E"]
+    assert (np.abs(after - before)[moved].max(axis=1) > 1e-5).all()
+
+
 def test_whole_table(spark, sf, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT_BITS", 6)  # so that most words go the way of the join
     monkeypatch.setattr(lm, "TRAIN_SHARE", 3)
