@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate, dedup, langid, pii
 from palimpsest.llm.mix import mix_copies
-from palimpsest.llm.runtime import crc_fold, fresh, materialize, table
+from palimpsest.llm.runtime import crc_fold, materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a learned language is found. Those without letters, or without any known trigram, go.
+    """Documents in a learned language: one language holds at least LEAST_KNOWN of all their trigrams, false positives taken off. Others go.
 
     Filters are learned from the stage's own labelled documents, as in op2; without any label nothing can be judged, and all stay.
     """
@@ -19,8 +19,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     filters = langid.learn(train)
     if not filters.langs:
         return docs
-    lang, score = fresh(docs, "lang_pred", "score")
-    return langid.identify(docs, filters).where((F.col(lang) != "und") & (F.col(score) > 0)).select(*docs.columns)
+    return langid.recognised(docs, filters)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 
-from palimpsest.llm.langid import Filters, grams, identify, learn, op2_langid
+from palimpsest.llm.langid import Filters, grams, identify, learn, op2_langid, recognised
 from palimpsest.llm.tokens import U, mixed
 
 
@@ -35,6 +35,20 @@ def test_filters_return_all_languages_and_correct_false_positives():
     assert c[2].max() < 6 * (20_000 * f.false.max()) ** 0.5 + 5
 
 
+def test_foreign_texts_of_any_length_are_rejected(spark):
+    """Another script, and another language of the same script, short and long; learned languages stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    f = learn(docs.where("lang != 'fr'").select("lang", "text"))
+    rng = np.random.default_rng(1)
+    script = [(-n, " ".join("".join(map(chr, x)) for x in rng.integers(0x4E00, 0x4E00 + 3000, (n, 5)).tolist())) for n in (1, 20, 20_000)]
+    french = " ".join(r.text for r in docs.where("lang = 'fr'").orderBy("doc_id").limit(100).collect())
+    rows = [*script, (-5, french[:2000]), (-6, french), (-7, None), (-8, "12 -- 7")]
+    foreign = spark.createDataFrame(rows, "doc_id long, text string")
+    known = docs.where("lang in ('en', 'de')").select("doc_id", "text")
+    assert {r.doc_id for r in recognised(foreign.union(known), f).collect()} == {r.doc_id for r in known.collect()}
+    assert f.predict(pa.array([script[2][1]]))[1][0] > 0  # the score alone would keep it
+
+
 def test_edges(spark):
     train = spark.createDataFrame([("en", "the quick brown fox and the dog"), ("de", "der schnelle braune fuchs und der hund"), ("de", None)], "lang string, text string")
     f = learn(train)
