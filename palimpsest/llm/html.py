@@ -2,7 +2,7 @@
 
 Pages of one host are parsed to trees of block elements (inline markup folds into its block's text). Within groups of
 at most GROUP pages, trees are aligned with a growing wrapper by simple tree matching: of two nodes with equal label, the
-largest order-preserving matching of their children. Wrapper nodes whose text is the same on all of at least LEAST_PAGES
+heaviest order-preserving matching of their children, where a pair weighs 1, 1 more for equal text, and what its own children match. Wrapper nodes whose text is the same on all of at least LEAST_PAGES
 different pages are template; the others are slots. A page's text is its slots, less what lies in elements that by tag,
 role, class or id are navigation, headers, footers, asides, forms, notices, adverts, comments and the like. Where a page
 marks its article (article, main, role=main, itemprop=articleBody), that marking bounds the text, and a block in it is kept
@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .runtime import small_batches, table
 
 GROUP, LEAST_PAGES = 64, 3
+#: So many weights of pairs are kept for the levels below; others are worked out again.
+KNOWN = 1_000_000
 #: Hosts with at least one in SPREAD of all pages are dealt over many tasks; there are SPREAD of them at most.
 SPREAD = 1000
 
@@ -155,47 +158,72 @@ class Slot:
         self.kids: list[Slot] = []
 
 
-def matching(a: list, b: list) -> list[tuple[int, int]]:
-    """The largest order-preserving matching of equal labels, leaves of equal text first."""
-    pairs, lo = [], 0
-    while lo < min(len(a), len(b)) and a[lo].label == b[lo].label:
-        pairs.append((lo, lo))
-        lo += 1
-    ha, hb, tail = len(a), len(b), []
-    while ha > lo and hb > lo and a[ha - 1].label == b[hb - 1].label:
-        ha, hb = ha - 1, hb - 1
-        tail.append((ha, hb))
-    if ha > lo and hb > lo:
-        n, m = ha - lo, hb - lo
-        if n * m > 250_000:  # very wide levels: in order of position
-            pairs += [(lo + i, lo + i) for i in range(min(n, m)) if a[lo + i].label == b[lo + i].label]
-            return pairs + tail[::-1]
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            for j in range(m - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if a[lo + i].label == b[lo + j].label else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        while i < n and j < m:
-            if a[lo + i].label == b[lo + j].label:
-                pairs.append((lo + i, lo + j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-    return pairs + tail[::-1]
+def pair(a, b):
+    """Weight of matching two nodes of equal label: 1, 1 more for equal text, and the best sum of their children's. Asks for weights by yielding pairs."""
+    total, _ = yield from best_of(a.kids, b.kids)
+    return 1 + (a.text == b.text) + total
+
+
+def best_of(a: list, b: list):
+    """(weight, pairs) of the heaviest order-preserving matching of equal labels; asks for weights by yielding pairs."""
+    n, m = len(a), len(b)
+    if not n or not m:
+        return 0, []
+    weight = np.zeros((n, m), np.int32)
+    for i in range(n):
+        for j in range(m):
+            if a[i].label == b[j].label:
+                x, y = a[i].kids, b[j].kids
+                if len(x) == len(y) == 1 and x[0].label == y[0].label == "#":  # the most frequent case, without a generator
+                    weight[i, j] = 2 + (a[i].text == b[j].text) + (x[0].text == y[0].text)
+                else:
+                    weight[i, j] = (yield a[i], b[j]) if x and y else 1 + (a[i].text == b[j].text)
+    best = np.zeros((n + 1, m + 1), np.int32)
+    for i in range(n - 1, -1, -1):
+        best[i, :m] = np.maximum.accumulate(np.maximum(best[i + 1, :m], best[i + 1, 1:] + weight[i])[::-1])[::-1]
+    pairs, i, j = [], 0, 0
+    while i < n and j < m:
+        if weight[i, j] and best[i, j] == best[i + 1, j + 1] + weight[i, j]:
+            pairs.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1, j] >= best[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return int(best[0, 0]), pairs
+
+
+def matching(a: list, b: list, known: dict | None = None) -> list[tuple[int, int]]:
+    """The heaviest matching of children, each pair weighed by its own subtrees'. No recursion; known: weights found so far."""
+    known = {} if known is None else known
+    stack, give = [(None, best_of(a, b))], None
+    while True:
+        key, work = stack[-1]
+        try:
+            x, y = work.send(give)
+        except StopIteration as done:
+            stack.pop()
+            if not stack:
+                return done.value[1]
+            give = int(done.value)
+            if len(known) < KNOWN:
+                known[key] = give
+            continue
+        give = known.get((id(x), id(y)))
+        if give is None:
+            stack.append(((id(x), id(y)), pair(x, y)))
 
 
 def align(wrapper: Slot, page: Node, places: dict[int, Slot]) -> None:
     """Match the page's tree to the wrapper, which takes in what it lacks."""
-    todo = [(wrapper, page)]
+    todo, known = [(wrapper, page)], {}
     while todo:
         slot, node = todo.pop()
         places[id(node)] = slot
         slot.pages += 1
         if slot.text != node.text:
             slot.varies = True
-        found = dict((j, i) for i, j in matching(slot.kids, node.kids))
+        found = dict((j, i) for i, j in matching(slot.kids, node.kids, known))
         grown, used = [], 0
         for j, kid in enumerate(node.kids):
             if j in found:
@@ -226,6 +254,8 @@ def texts_of(pages: list[str | None]) -> list[str]:
     """The main texts of pages of one host."""
     trees = [parse(p) for p in pages]
     found = [list(leaves(t)) for t in trees]
+    if all(any(inside for _, inside in got) for got in found):  # the wrapper decides no text
+        return [" ".join(n.text for n, inside in got if inside) for got in found]
     wrapper, places, seen = Slot("", ""), [None] * len(trees), {}
     for i, tree in enumerate(trees):
         key = pages[i]

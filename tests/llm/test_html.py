@@ -26,6 +26,13 @@ def test_wrapper_finds_constant_blocks():
     assert texts_of([page(7, False)]) == ["Constant strap " + content(7)]
 
 
+def test_shifted_siblings_of_equal_label():
+    """A promo before the menu on some pages: the menu matches the menu, by its text and by its subtrees."""
+    menu = "<div><p>Home</p><p>News</p><p>Shop</p></div>"
+    pages = [("" if n % 2 else f"<div><p>Promo {n}</p></div>") + menu + f"<div><p>Body {n}</p><p>end {n}</p></div>" for n in range(6)]
+    assert texts_of(pages) == [("" if n % 2 else f"Promo {n} ") + f"Body {n} end {n}" for n in range(6)]
+
+
 def test_copies_are_no_template():
     assert texts_of([page(7, False)] * 5) == ["Constant strap " + content(7)] * 5
 
