@@ -32,8 +32,6 @@ LEAST_RATE = 2e-5
 TRAIN_ROWS = 5000
 HASHES = 3
 BITS_AN_ENTRY = 16
-#: A text is in a learned language if that holds so much of its trigrams, which must be so many standard deviations above the false positives.
-LEAST_KNOWN, NOISE = 0.5, 6
 
 _letters: list[np.ndarray] = []
 
@@ -142,21 +140,6 @@ class Filters:
             out[:, i] = np.maximum(0, (seen - total * self.false[i]) / max(1e-9, 1 - self.false[i]))
         return out
 
-    def known(self, column: pa.Array) -> np.ndarray:
-        """Corrected share of all trigrams of each text, not only of the recognised, that its best language contains; 0 where its
-        distinct ones (a false positive repeats with its trigram) aren't more than false positives explain, by NOISE deviations."""
-        row, g, _ = grams(column)
-        n = len(column)
-        if not self.langs or not len(row):
-            return np.zeros(n)
-        share = self.counts(row, g, n) / np.maximum(1, np.bincount(row, minlength=n))[:, None]
-        order = np.lexsort((g, row))
-        r, h = row[order], g[order]
-        new = np.concatenate([[True], (np.diff(r) != 0) | (h[1:] != h[:-1])])
-        distinct = np.bincount(r[new], minlength=n)[:, None]
-        noise = NOISE * np.sqrt(distinct * self.false * (1 - self.false))
-        return np.where(self.counts(r[new], h[new], n) * (1 - self.false) > noise, share, 0).max(axis=1)
-
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         row, g, count = grams(column)
         n = len(column)
@@ -203,20 +186,6 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame
     return docs.mapInArrow(predict, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
-def recognised(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
-    """Rows of docs whose text is in a learned language; those of null text, without letters or in other languages go."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
-
-    def keep(batches):
-        for batch in batches:
-            for a, b in slices(batch.column(text)):
-                part = batch.slice(a, b - a)
-                yield part.filter(pa.array(shared.value.known(part.column(text)) >= LEAST_KNOWN))
-
-    return docs.mapInArrow(keep, docs.schema)
-
-
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = crc_fold("doc_id", 3) == 1
