@@ -1,26 +1,28 @@
 """Language-model scores from a causal self-attention model over subword ids, trained in numpy.
 
-Subwords come from a public byte-pair vocabulary, whose path is a parameter; each word (a run without ASCII white space, A-Z
-lower-cased) is encoded with a space before it, and an end mark follows the last. The model has one masked attention
-layer over token and position embeddings, a residual path and a softmax in two levels (a cluster of classes of like frequency,
-then the class within) over all subwords of training (the TOP most frequent, if TOP is set), one class for all others, and the
-end; a subword of the class of others has its smoothed training frequency within it.
-
-Words and subwords are counted over all training texts, and the output's biases start from these counts. The weights are
-trained with Adam, first on the driver with WARM_TEXTS whole texts of the smallest hashes, then on all training texts (1 in
-TRAIN_SHARE by hash) in ROUNDS rounds, each over its hashed part of them: every task trains on its texts of the round's
-part, the tasks' weights are averaged by tokens, and the next round starts from these.
+Subwords come from a public byte-pair vocabulary, whose path is a parameter (without the file the query fails); each word (a
+run without ASCII white space, A-Z lower-cased) is encoded with a space before it, and an end mark follows the last. The model
+has one masked attention layer over token embeddings, with a learned bias for each distance, a residual path, and a softmax in
+two levels (a cluster of classes of like frequency, then the class within) over all subwords of training, one class for all
+others, and the end; a subword that training lacks has an equal share of the class of others.
 
 Texts are cut into blocks of STRIDE tokens; each block's queries attend, causally, to itself and the block before it, so
 windows of 2 * STRIDE overlap by half and every token is scored exactly once. Blocks of many texts form one batch, and the
-mask keeps out later tokens and padding.
+mask keeps out later tokens, other texts and padding.
+
+Words and subwords are counted over all training texts, and the output's biases start from these counts. Then all windows of
+all training texts train the weights, in ROUNDS rounds. A hash of id and text deals the texts into shards of about
+SHARD_TOKENS tokens, and a shard into a round. In a round each shard is trained by Adam from the round's weights, its texts in
+the order of their hashes; the shards' weights are averaged by tokens and start the next round. Shards depend on the rows
+alone, so the split into files and tasks changes the scores by no more than the rounding of these sums. A shard takes about
+STEPS steps, of LEAST_BATCH blocks at least and BATCH at most.
 
 The base score is a smoothed unigram model of words. Words with at least one in 2 ** FREQUENT_BITS of all tokens (so
 2 ** FREQUENT_BITS at most) are broadcast; all others are counted by text and joined with the table of counts.
 
-Null texts count as empty and have the end mark alone. Repeated rows are scored each for itself. Without training texts the
-base score is 0 a token less nothing known, and the model knows subwords by the class of others alone. Empty tables give an
-empty result. Columns other than the id and text are not read.
+Null texts count as empty and have the end mark alone. Repeated rows are scored each for itself. Very long texts are one row of
+a task, and are worked through in pieces. Without training texts the base score is 0 a token less nothing known, and the model
+has the class of others alone. Empty tables give an empty result. Columns other than the id and text are not read.
 """
 
 from __future__ import annotations
@@ -34,18 +36,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import crc_fold, materialize, small_batches, table
-from .tokens import U, Words, slices
+from .tokens import Words, slices
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: CLUSTER classes at least form one cluster of the softmax, and as many as there are clusters. TOP: bound on the subwords that are classes of their own; None: all of training.
-TOP, CLUSTER, WIDTH, STRIDE = None, 32, 24, 16
-WARM_TEXTS, WARM_STEPS, BATCH, RATE = 400, 500, 128, 2e-2
-#: One training text in so many trains the tasks' weights, at the rate TASK_RATE, in so many averaging rounds.
-TRAIN_SHARE, TASK_RATE, ROUNDS = 1, 1e-3, 4
-FREQUENT_BITS = 17
-#: Blocks that attend at once, and so many times more of which the softmax is taken at once; logits that may exceed LIMIT are shifted by their largest.
-CHUNK, GROUP, LIMIT = 64, 16, 60.0
+WIDTH, KEYS, VALUES, STRIDE = 24, 8, 16, 16
+#: A cluster of the softmax grows while its classes times its share of all tokens are at most SPAN. Logits beyond LIMIT are shifted.
+SPAN, LIMIT = 1.0, 60.0
+#: Steps a shard, blocks a step; Adam's rate in the first and the last round.
+STEPS, LEAST_BATCH, BATCH, RATE, LAST_RATE = 64, 16, 512, 3e-2, 3e-3
+SHARD_TOKENS, ROUNDS, MOST_TASKS = 1 << 19, 8, 8192
+FREQUENT_BITS = 20
+#: Blocks scored at once; distinct words a task remembers.
+CHUNK, REMEMBERED = 1024, 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -62,300 +65,331 @@ def bytes_of(words: Words, first: np.ndarray, before: int = 0) -> tuple[np.ndarr
 
 
 class Subwords:
-    """Words to subword ids."""
+    """Words to subword ids. Each distinct word is encoded once, as long as no more than REMEMBERED are known; log: what is noted for a word's hash."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], log=None):
         import tiktoken
 
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.opens = np.zeros(max(ranks.values(), default=0) + 1, bool)
         self.opens[[r for b, r in ranks.items() if b[:1] == b" "]] = True
+        self.log = log or (lambda h: np.zeros(len(h)))
+        self.forget()
 
-    def each(self, words: Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words, by their places, in order; how many each has."""
-        return self.spaced(*bytes_of(words, first, 1))
+    def forget(self) -> None:
+        self.slot, self.n = np.zeros(1 << 20, np.int32), 1
+        self.hash, self.begin, self.size, self.noted, self.flat = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024), np.zeros(0, np.int32)
 
-    def spaced(self, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same of words' bytes, each after a place for a space. They are encoded as one text: words hold no space, so a
+    def each(self, words: Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, by their places, in order; how many each has. They are encoded as one text: words hold no space, so a
         subword that begins with one, and no other, begins a word."""
+        text, size = bytes_of(words, first, 1)
         if not len(size):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         text[np.cumsum(size) - size] = 32
-        flat = np.array(self.encode(text.tobytes().decode("utf-8", "replace")), np.int64)
+        flat = np.array(self.encode(text.tobytes().decode("utf-8", "replace")), np.int32)
         return flat, np.bincount(np.cumsum(self.opens[flat]) - 1, minlength=len(size))
 
-    def of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in order, and the text of each."""
-        if not len(words.hash):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        _, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-        flat, size = self.each(words, first)
-        begin = np.cumsum(size) - size
-        n = size[inverse]
-        at = np.repeat(begin[inverse], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return flat[at], np.repeat(words.doc, n)
-
-
-def blocks(ids: np.ndarray, doc: np.ndarray, texts: int, begin: int, end: int, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of STRIDE inputs and targets (pad: none), the text of each row, and whether it is the text's first."""
-    size = np.bincount(doc, minlength=texts) + 1
-    rows = -(-size // STRIDE)
+    def known(self, words: Words) -> np.ndarray:
+        """The entry of each word; new words get one. A word's hash points at its last entry with the same first bits."""
+        slot = (words.hash >> np.uint64(44)).astype(np.int64)
+        at = self.slot[slot].astype(np.int64)
+        miss = np.flatnonzero((self.hash[at] != words.hash) | (at == 0))
+        if len(miss):
+            if self.n > 1 and self.n + len(miss) > REMEMBERED:
+                self.forget()
+                return self.known(words)
+            new, first, inverse = np.unique(words.hash[miss], return_index=True, return_inverse=True)
+            flat, size = self.each(words, miss[first])
+            a, b = self.n, self.n + len(new)
+            while b > len(self.hash):
+                self.hash, self.begin, self.size, self.noted = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.begin, self.size, self.noted))
+            self.hash[a:b], self.size[a:b], self.noted[a:b] = new, size, self.log(new)
+            self.begin[a:b] = len(self.flat) + np.cumsum(size) - size
+            self.flat, self.n = np.concatenate([self.flat, flat]), b
+            self.slot[(new >> np.uint64(44)).astype(np.int64)] = np.arange(a, b)
+            at[miss] = a + inverse
+        return at
+
+    def of(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the texts in order, how many each text has, and what is noted for each word."""
+        at = self.known(words)
+        n = self.size[at]
+        ends = np.cumsum(n)
+        place = np.repeat(self.begin[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+        total = np.concatenate([[0], ends])
+        return self.flat[place], total[words.first + words.count] - total[words.first], self.noted[at]
+
+
+def blocks(ids: np.ndarray, sizes: np.ndarray, begin: int, end: int, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of STRIDE inputs and targets (pad: none), the text of each row, and whether it is the text's first. sizes: of the texts."""
+    rows = sizes // STRIDE + 1
     start = (np.cumsum(rows) - rows) * STRIDE
-    inputs, targets = np.full(int(rows.sum()) * STRIDE, pad), np.full(int(rows.sum()) * STRIDE, pad)
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(size - 1) - (size - 1), size - 1)
+    inputs, targets = np.full((2, int(rows.sum()) * STRIDE), pad, np.int32)
+    place = np.arange(len(ids)) + np.repeat(start - np.cumsum(sizes) + sizes, sizes)
     inputs[start] = begin
-    inputs[start[doc] + place + 1] = ids
-    targets[start[doc] + place] = ids
-    targets[start + size - 1] = end
-    owner = np.repeat(np.arange(texts), rows)
+    inputs[place + 1] = ids
+    targets[place], targets[start + sizes] = ids, end
+    owner = np.repeat(np.arange(len(sizes)), rows)
     return inputs.reshape(-1, STRIDE), targets.reshape(-1, STRIDE), owner, np.diff(owner, prepend=-1) != 0
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
+def spans(mass: np.ndarray) -> np.ndarray:
+    """Edges of clusters of classes by falling mass: a cluster grows while its size times its share of the mass is at most SPAN."""
+    total, edges = np.concatenate([[0.0], np.cumsum(mass / mass.sum())]), [0]
+    while (i := edges[-1]) < len(mass):
+        n = np.searchsorted(np.arange(1, len(mass) - i + 1) * (total[i + 1 :] - total[i]), SPAN, "right")
+        edges.append(i + max(1, int(n)))
+    return np.array(edges)
+
+
+def share(z: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of logits (classes, rows): the log share of class t in each row, exp(z), up to a factor a row, and its sum. Overwrites z."""
+    if max(z.max(initial=0), -z.min(initial=0)) > LIMIT:
+        z -= z.max(axis=0)
+    own = z[t, np.arange(len(t))]
+    np.exp(z, out=z)
+    total = z.sum(axis=0)
+    return own - np.log(total), z, total
 
 
 class Model:
-    """Classes: the top subwords by falling frequency, then others, then end; inputs have begin and pad besides. counts: of all subwords."""
+    """Classes by falling frequency: all subwords of training, one of all others, the end; inputs have begin and pad besides. counts: of all subwords."""
 
     def __init__(self, counts: np.ndarray, ends: int, seed: int = 3):
-        order = np.lexsort((np.arange(len(counts)), -counts))[:TOP]
-        top = order[counts[order] > 0]
-        self.classes = len(top) + 2
-        self.other, self.end, self.begin, self.pad = len(top), len(top) + 1, len(top) + 2, len(top) + 3
+        seen = np.flatnonzero(counts)
+        mass = np.concatenate([counts[seen], [0, ends]]) + 0.5
+        rank = np.argsort(-mass, kind="stable")
+        place = np.argsort(rank)
+        mass, self.classes = mass[rank], len(mass)
+        self.other, self.end, self.begin, self.pad = int(place[-2]), int(place[-1]), len(mass), len(mass) + 1
         self.to_class = np.full(len(counts), self.other)
-        self.to_class[top] = np.arange(len(top))
-        inside = self.to_class == self.other
-        weight = np.where(inside, counts + 0.5, 0.0)
-        self.within = np.zeros(len(counts))
-        self.within[inside] = np.log(weight[inside] / weight.sum())
-        self.cluster = max(CLUSTER, int(np.ceil(self.classes**0.5)))
-        rng, d, c = np.random.default_rng(seed), WIDTH, -(-self.classes // self.cluster)
-        make = lambda *s: (rng.standard_normal(s) * s[0] ** -0.5).astype(np.float32)
-        often = np.zeros(c * self.cluster)
-        often[: self.classes] = np.concatenate([counts[top], [counts[inside].sum(), ends]]) + 0.5
-        often = often.reshape(c, self.cluster)
-        with np.errstate(divide="ignore"):  # places without a class have no probability
-            inner = np.maximum(np.log(often / often.sum(axis=1, keepdims=True)), -1e4)
+        self.to_class[seen] = place[:-2]
+        self.within = np.where(counts == 0, -np.log(max(1, len(counts) - len(seen))), 0.0)
+        self.edges = spans(mass)
+        clusters = len(self.edges) - 1
+        self.cluster = np.repeat(np.arange(clusters, dtype=np.uint16), np.diff(self.edges))
+        whole, rng = np.add.reduceat(mass, self.edges[:-1]), np.random.default_rng(seed)
+        make = lambda scale, *s: (rng.standard_normal(s) * scale).astype(np.float32)
         self.p = {
-            "E": (rng.standard_normal((self.classes + 2, d)) * 0.3).astype(np.float32), "P": np.zeros((2 * STRIDE, d), np.float32), "q": make(d, d), "k": make(d, d), "v": make(d, d), "o": make(d, d),
-            "wc": make(d, c) * np.float32(0.1), "bc": np.log(often.sum(axis=1) / often.sum()).astype(np.float32), "wm": (rng.standard_normal((c, d, self.cluster)) * 0.02).astype(np.float32), "bm": inner.astype(np.float32),
+            "E": make(0.3, self.classes + 2, WIDTH), "in": make(WIDTH**-0.5, WIDTH, 2 * KEYS + VALUES), "out": make(VALUES**-0.5, VALUES, WIDTH), "far": np.zeros(2 * STRIDE, np.float32),
+            "G": make(0.02, clusters, WIDTH + 1), "O": make(0.02, self.classes, WIDTH + 1),
         }
-        self.p["wm"] *= (inner > -1e4)[:, None, :]
-        self.causal = np.arange(2 * STRIDE)[None, :] <= np.arange(STRIDE)[:, None] + STRIDE
-
-    def attend(self, own: np.ndarray, before: np.ndarray):
-        """own, before: (rows, STRIDE) inputs, before all pad where a text begins. The output's inputs h and what training needs."""
-        p, keys = self.p, np.concatenate([before, own], axis=1)
-        kx = p["E"][keys] + p["P"]
-        x = kx[:, STRIDE:]
-        q, k, v = x @ p["q"], kx @ p["k"], kx @ p["v"]
-        s = (q @ k.transpose(0, 2, 1)) * WIDTH**-0.5
-        s = np.where(self.causal & (keys != self.pad)[:, None, :] | (own == self.pad)[:, :, None], s, -1e9)
-        a = np.exp(log_softmax(s))
+        self.p["G"][:, WIDTH], self.p["O"][:, WIDTH] = np.log(whole / whole.sum()), np.log(mass / whole[self.cluster])
+        self.far = np.maximum(0, np.arange(STRIDE)[:, None] + STRIDE - np.arange(2 * STRIDE))
+        self.mask = np.where(np.arange(STRIDE)[:, None] + STRIDE < np.arange(2 * STRIDE), -np.inf, 0).astype(np.float32)
+
+    def attend(self, own: np.ndarray, first: np.ndarray):
+        """own: (rows, STRIDE) inputs, each row after the one before it but where a text is first. The output's inputs h and what training needs."""
+        p, n = self.p, len(own)
+        x = p["E"].take(own.ravel(), axis=0)
+        qkv = (x @ p["in"]).reshape(n, STRIDE, -1)
+        k, v = np.zeros((n, KEYS, 2 * STRIDE), x.dtype), np.zeros((n, 2 * STRIDE, VALUES + 1), x.dtype)
+        k[:, :, STRIDE:], v[:, STRIDE:, :VALUES] = qkv[:, :, KEYS : 2 * KEYS].transpose(0, 2, 1), qkv[:, :, 2 * KEYS :]
+        k[1:, :, :STRIDE], v[1:, :STRIDE], v[:, :, VALUES] = k[:-1, :, STRIDE:], v[:-1, STRIDE:], 1
+        a = qkv[:, :, :KEYS] @ k
+        far = p["far"][self.far]
+        if max(a.max(initial=0), -a.min(initial=0)) + np.abs(far).max() > LIMIT:
+            a[first, :, :STRIDE] = a[0, :, :STRIDE] = -np.inf
+            far = far + self.mask
+            a -= (a + far).max(axis=2, keepdims=True)
+        a += far
+        a += self.mask
+        np.exp(a, out=a)
+        a[first, :, :STRIDE] = 0
+        a[0, :, :STRIDE] = 0
         o = a @ v
-        return x + o @ p["o"], (keys, kx, x, q, k, v, a, o)
+        weight = o[:, :, VALUES:]
+        o = o[:, :, :VALUES] / weight
+        return x + o.reshape(-1, VALUES) @ p["out"], (x, qkv, k, v, a, o, weight)
+
+    def outputs(self, targets: np.ndarray):
+        """The targets that aren't pad, in order of their clusters: (places, targets, bounds of the clusters among them)."""
+        t = targets.ravel()
+        live = np.flatnonzero(t != self.pad)
+        cluster = self.cluster[t[live]]
+        live = live[np.argsort(cluster, kind="stable")]
+        return live, t[live], np.concatenate([[0], np.cumsum(np.bincount(cluster, minlength=len(self.edges) - 1))])
+
+    def classed(self, h: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Rows of h with a 1 at the end, which takes the biases."""
+        out = np.ones((len(live), WIDTH + 1), h.dtype)
+        out[:, :WIDTH] = h.take(live, axis=0)
+        return out
+
+    def log_likelihood(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Log probability of each row's targets."""
+        live, t, bounds = self.outputs(targets)
+        h, p = self.classed(h, live), self.p
+        got = share(p["G"] @ h.T, self.cluster[t])[0]
+        for c in np.flatnonzero(np.diff(bounds)):
+            x, y, e, f = bounds[c], bounds[c + 1], self.edges[c], self.edges[c + 1]
+            if f > e + 1:
+                got[x:y] += share(p["O"][e:f] @ h[x:y].T, t[x:y] - e)[0]
+        whole = np.zeros(targets.size)
+        whole[live] = got
+        return whole.reshape(targets.shape).sum(axis=1)
 
     def distribution(self, h: np.ndarray) -> np.ndarray:
-        """Log-probabilities of all classes for rows of h."""
-        p = self.p
-        z = log_softmax(h @ p["wc"] + p["bc"])[:, :, None] + log_softmax(np.einsum("nd,cdm->ncm", h, p["wm"]) + p["bm"])
-        return z.reshape(len(h), -1)[:, : self.classes]
+        """Log probabilities of all classes for rows of h."""
+        log = lambda z: (z := z - z.max(axis=0)) - np.log(np.exp(z).sum(axis=0))
+        h = self.classed(h, np.arange(len(h))).T
+        outer = log(self.p["G"] @ h)
+        return np.concatenate([outer[c] + log(self.p["O"][e:f] @ h) for c, (e, f) in enumerate(zip(self.edges, self.edges[1:], strict=False))]).T
 
-    def gradients(self, own: np.ndarray, before: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(self, own: np.ndarray, targets: np.ndarray, first: np.ndarray) -> tuple[float, dict]:
         """Mean loss of the targets that aren't pad, and the gradient of each weight."""
-        p, d = self.p, WIDTH
-        h, (keys, kx, x, q, k, v, a, o) = self.attend(own, before)
-        live = targets != self.pad
-        n = max(1, int(live.sum()))
-        hl, t = h[live], targets[live]
-        cluster, member = t // self.cluster, t % self.cluster
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-
-        def output(h: np.ndarray, w: np.ndarray, b: np.ndarray, t: np.ndarray):
-            z = log_softmax(h @ w + b)
-            at = np.arange(len(t))
-            dz = np.exp(z)
-            dz[at, t] -= 1
-            dz /= n
-            return z[at, t].sum(), dz @ w.T, h.T @ dz, dz.sum(axis=0)
-
-        total, dhl, gw, gb = output(hl, p["wc"], p["bc"], cluster)
-        g = {"wc": gw, "bc": gb, "wm": np.zeros_like(p["wm"]), "bm": np.zeros_like(p["bm"])}
-        for c in np.unique(cluster):
-            rows = np.flatnonzero(cluster == c)
-            inner, dh, g["wm"][c], g["bm"][c] = output(hl[rows], p["wm"][c], p["bm"][c], member[rows])
-            total += inner
-            dhl[rows] += dh
+        p = self.p
+        h, (x, qkv, k, v, a, o, weight) = self.attend(own, first)
+        live, t, bounds = self.outputs(targets)
+        hl, n, kind = self.classed(h, live), max(1, len(live)), h.dtype
+
+        def one(w: np.ndarray, h: np.ndarray, t: np.ndarray):
+            """Log shares, and what comes back to w and to h."""
+            got, z, total = share(w @ h.T, t)
+            z *= 1 / (n * total)
+            z[t, np.arange(len(t))] -= kind.type(1 / n)
+            return got.sum(), z @ h, z.T @ w[:, :WIDTH]
+
+        g = {"O": np.zeros_like(p["O"]), "E": np.zeros_like(p["E"])}
+        loss, g["G"], dhl = one(p["G"], hl, self.cluster[t])
+        spans = [(bounds[c], bounds[c + 1], self.edges[c], self.edges[c + 1]) for c in np.flatnonzero(np.diff(bounds))]
+        for i, j, e, f in spans:
+            if f > e + 1:
+                more, g["O"][e:f], back = one(p["O"][e:f], hl[i:j], t[i:j] - e)
+                loss += more
+                dhl[i:j] += back
         dh = np.zeros_like(h)
         dh[live] = dhl
-        g["o"] = flat(o).T @ flat(dh)
-        do = dh @ p["o"].T
-        da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * d**-0.5
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["q"], g["k"], g["v"] = flat(x).T @ flat(dq), flat(kx).T @ flat(dk), flat(kx).T @ flat(dv)
-        dkx = dk @ p["k"].T + dv @ p["v"].T
-        dkx[:, STRIDE:] += dh + dq @ p["q"].T
-        g["P"] = dkx.sum(axis=0)
-        g["E"] = np.stack([np.bincount(keys.ravel(), weights=x, minlength=len(p["E"])) for x in flat(dkx).T], axis=1).astype(p["E"].dtype)
-        return -float(total) / n, g
-
-    def trainer(self, rate):
+        # The attention.
+        g["out"] = o.reshape(-1, VALUES).T @ dh
+        do = (dh @ p["out"].T).reshape(o.shape) / weight
+        da = np.concatenate([do, -np.einsum("nsv,nsv->ns", do, o)[:, :, None]], axis=2) @ np.ascontiguousarray(v.transpose(0, 2, 1))
+        da *= a
+        dv, dk = a.transpose(0, 2, 1) @ do, np.ascontiguousarray(qkv[:, :, :KEYS].transpose(0, 2, 1)) @ da
+        dqkv = np.empty_like(qkv)
+        dqkv[:, :, :KEYS] = da @ k.transpose(0, 2, 1)
+        dqkv[:, :, KEYS : 2 * KEYS], dqkv[:, :, 2 * KEYS :] = dk[:, :, STRIDE:].transpose(0, 2, 1), dv[:, STRIDE:]
+        dqkv[:-1, :, KEYS : 2 * KEYS] += dk[1:, :, :STRIDE].transpose(0, 2, 1)
+        dqkv[:-1, :, 2 * KEYS :] += dv[1:, :STRIDE]
+        g["far"] = np.bincount(self.far.ravel(), weights=da.sum(axis=0).ravel(), minlength=2 * STRIDE).astype(kind)
+        dqkv = dqkv.reshape(len(x), -1)
+        g["in"] = x.T @ dqkv
+        dx = dh + dqkv @ p["in"].T
+        # A target is the input of the place after it, so that the order of the targets serves the embeddings too; an end's next place is a begin or pad.
+        after, flat = np.minimum(live + 1, len(dx) - 1), own.ravel()
+        stays = flat[after] == t
+        after = dx.take(after, axis=0) * stays[:, None]
+        for i, j, e, f in spans:
+            z = np.zeros((f - e, j - i), kind)
+            z[t[i:j] - e, np.arange(j - i)] = 1
+            g["E"][e:f] = z @ after[i:j]
+        g["E"][self.begin] = dx[flat == self.begin].sum(axis=0)
+        return -float(loss) / n, g
+
+    def adam(self, rate):
         """A function that takes a batch and makes one step of Adam; rate: of the step's number from 1."""
-        m, v, t = {}, {}, 0
+        m, v, t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
 
-        def step(own: np.ndarray, before: np.ndarray, targets: np.ndarray) -> float:
+        def step(own: np.ndarray, targets: np.ndarray, first: np.ndarray) -> float:
             nonlocal t
             t += 1
-            loss, g = self.gradients(own, before, targets)
-            for name, grad in g.items():
-                m[name] = 0.9 * m.get(name, 0) + 0.1 * grad
-                v[name] = 0.99 * v.get(name, 0) + 0.01 * grad**2
-                self.p[name] = (self.p[name] - rate(t) * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            loss, g = self.gradients(own, targets, first)
+            size, root = np.float32(rate(t) / (1 - 0.9**t)), np.float32((1 - 0.99**t) ** -0.5)
+            for k, grad in g.items():
+                m[k] *= np.float32(0.9)
+                m[k] += np.float32(0.1) * grad
+                grad *= grad
+                v[k] *= np.float32(0.99)
+                v[k] += np.float32(0.01) * grad
+                np.sqrt(v[k], out=grad)
+                grad *= root
+                grad += np.float32(1e-8)
+                np.divide(m[k], grad, out=grad)
+                grad *= size
+                self.p[k] -= grad
             return loss
 
         return step
 
-    def rows(self, ids: np.ndarray, doc: np.ndarray, texts: int):
-        own, targets, owner, first = blocks(self.to_class[ids] if len(ids) else ids, doc, texts, self.begin, self.end, self.pad)
-        before = np.full_like(own, self.pad)
-        before[1:][~first[1:]] = own[:-1][~first[1:]]
-        return own, before, targets, owner
-
-    def tables(self) -> dict[str, np.ndarray]:
-        """For scoring, the parts of the input and of the place in the block, which are added up: own has what is added to the output (with a 0), query, key, and
-        value times o (with a 1); past has key and value as seen from the next block. Then the output's weights with their biases as a last row, and whether logits stay small."""
-        p, d, scale = self.p, WIDTH, np.float32(WIDTH**-0.5)
-        side = lambda x: np.concatenate([x, x @ p["q"] * scale, x @ p["k"], x @ p["v"] @ p["o"]], axis=1).astype(np.float32)
-        e, at = side(p["E"]), side(p["P"])
-        own = lambda x, one: np.concatenate([x[:, :d], np.zeros((len(x), 1), np.float32), x[:, d:], np.full((len(x), 1), one, np.float32)], axis=1)
-        past = lambda x, one: np.concatenate([x[:, 2 * d :], np.full((len(x), 1), one, np.float32)], axis=1)
-        longest = lambda x: float(np.linalg.norm(x, axis=-1).max())
-        part = [longest(e[:, i : i + d]) + longest(at[:, i : i + d]) for i in range(0, 4 * d, d)]
-        out = (part[0] + part[3]) * max(longest(p["wc"].T), longest(p["wm"].transpose(0, 2, 1))) + max(0, float(p["bc"].max()), float(p["bm"].max()))
-        wide = {"wc": np.concatenate([p["wc"], p["bc"][None, :]]), "wm": np.concatenate([p["wm"], p["bm"][:, None, :]], axis=1)}
-        causal = self.causal[:, STRIDE:].astype(np.float32)
-        return {"own": own(e, 1), "own_at": own(at[STRIDE:], 0), "past": past(e, 1), "past_at": past(at[:STRIDE], 0), "causal": causal, "shift": part[1] * part[2] > LIMIT or out > LIMIT} | wide
-
-    def score(self, ids: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+    def train(self, ids: np.ndarray, sizes: np.ndarray, rate: float) -> int:
+        """Adam over all windows of the texts, in order. The number of targets."""
+        own, targets, _, first = blocks(self.to_class[ids], sizes, self.begin, self.end, self.pad)
+        step, batch = self.adam(lambda t: rate * min(1, t / 10)), min(BATCH, max(LEAST_BATCH, len(own) // STEPS))
+        for i in range(0, len(own), batch):
+            a, b = max(0, i - 1), i + batch
+            t = targets[a:b]
+            if a < i:  # the block before, for the first one's window
+                t = t.copy()
+                t[0] = self.pad
+            step(own[a:b], t, first[a:b])
+        return len(ids) + len(sizes)
+
+    def score(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Log10 probability of each text, its end included."""
-        own, targets, owner, first = blocks(self.to_class[ids] if len(ids) else ids, doc, texts, self.begin, self.end, self.pad)
-        if not hasattr(self, "fast"):
-            self.fast = self.tables()
-        out, h = np.zeros(len(own)), np.empty((GROUP * CHUNK, STRIDE, WIDTH + 1), np.float32)
-        for i in range(0, len(own), GROUP * CHUNK):
-            end = min(i + GROUP * CHUNK, len(own))
-            for j in range(i, end, CHUNK):
-                k = min(j + CHUNK, end)
-                self.attended(own[j:k], own[j - 1 : k - 1] if j else np.concatenate([own[:1], own[: k - 1]]), first[j:k], h[j - i : k - i])
-            out[i:end] = self.log_likelihood(h[: end - i].reshape(-1, WIDTH + 1), targets[i:end])
-        total = np.bincount(owner, weights=out, minlength=texts)
+        own, targets, owner, first = blocks(self.to_class[ids], sizes, self.begin, self.end, self.pad)
+        out = np.zeros(len(own))
+        for i in range(0, len(own), CHUNK):
+            a, b = max(0, i - 1), i + CHUNK
+            h, _ = self.attend(own[a:b], first[a:b])
+            out[i:b] = self.log_likelihood(h[(i - a) * STRIDE :], targets[i:b])
+        total = np.bincount(owner, weights=out, minlength=len(sizes))
         if len(ids):
-            total += np.bincount(doc, weights=self.within[ids], minlength=texts)
+            total += np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=self.within[ids], minlength=len(sizes))
         return total / np.log(10)
 
-    def attended(self, own: np.ndarray, before: np.ndarray, first: np.ndarray, out: np.ndarray) -> None:
-        """The output's inputs, with a 1 at the end, of blocks; before: the block before each."""
-        f, d = self.fast, WIDTH
-        g, p = f["own"].take(own, axis=0), f["past"].take(before, axis=0)
-        g += f["own_at"]
-        p += f["past_at"]
-        p[first, :, d:] = 0  # nothing, and no weight, where a text begins
-        q = g[:, :, d + 1 : 2 * d + 1]
-        a, b = q @ p[:, :, :d].transpose(0, 2, 1), q @ g[:, :, 2 * d + 1 : 3 * d + 1].transpose(0, 2, 1)
-        if f["shift"]:
-            a[first] = -np.inf
-            b[:, f["causal"] == 0] = -np.inf
-            top = np.maximum(a.max(axis=2, keepdims=True), b.max(axis=2, keepdims=True))
-            a -= top
-            b -= top
-        np.exp(a, out=a)
-        np.exp(b, out=b)
-        b *= f["causal"]
-        o = a @ p[:, :, d:]
-        o += b @ g[:, :, 3 * d + 1 :]  # the last column is the sum of the weights
-        np.divide(o, o[:, :, d:], out=out)
-        out += g[:, :, : d + 1]
 
-    def log_likelihood(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Log probability of each block's targets."""
-        f, t = self.fast, targets.ravel()
-        live = np.flatnonzero(t != self.pad)
-        t = t[live]
-        order = np.argsort((t // self.cluster).astype(np.uint16), kind="stable")
-        live, t = live[order], t[order]
-        h, cluster = h[live], t // self.cluster
-
-        def output(z: np.ndarray, t: np.ndarray) -> np.ndarray:
-            if f["shift"]:
-                z -= z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(t)), t]
-            return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
-
-        got = output(h @ f["wc"], cluster)
-        edge = np.concatenate([[0], np.cumsum(np.bincount(cluster, minlength=len(f["wm"])))])
-        for c in np.flatnonzero(np.diff(edge)):
-            x, y = edge[c], edge[c + 1]
-            got[x:y] += output(h[x:y] @ f["wm"][c], t[x:y] % self.cluster)
-        whole = np.zeros(targets.size)
-        whole[live] = got
-        return whole.reshape(targets.shape).sum(axis=1)
-
-
-def warm(model: Model, train: DataFrame, ranks: dict[bytes, int]) -> Model:
-    """Train on the WARM_TEXTS texts with the smallest hashes (more only by equal hashes of equal texts, which count once)."""
-    h = F.xxhash64("text")
-    least = train.where("text is not null").select(h.alias("h")).distinct().orderBy("h").limit(WARM_TEXTS).agg(F.max("h")).first()[0]
-    texts = sorted({r.text for r in train.where(h <= least).select("text").distinct().collect()}) if least is not None else []
-    if texts:
-        own, before, targets, _ = model.rows(*Subwords(ranks).of(Words(pa.array(texts, pa.string()))), len(texts))
-        rng, step = np.random.default_rng(5), model.trainer(lambda t: RATE * min(1, t / 20) * (1 - 0.9 * t / WARM_STEPS))
-        for _ in range(WARM_STEPS):
-            pick = rng.integers(0, len(own), min(BATCH, len(own)))
-            step(own[pick], before[pick], targets[pick])
-    return model
+def texts_in(column: pa.Array, kind: np.dtype):
+    """Pieces of a column of ids as bytes: (first row, row after the last, all ids, how many each row has)."""
+    for a, b in slices(column):
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset + a : column.offset + b + 1]
+        data = column.buffers()[2]
+        yield a, b, np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind) if data is not None else np.zeros(0, kind), np.diff(offsets).astype(np.int64) // kind.itemsize
 
 
-def refine(model: Model, train: DataFrame, ranks) -> Model:
-    """ROUNDS rounds, each over its part of the texts, which together are all that train."""
-    part = F.pmod(F.xxhash64("text", F.lit("share")), F.lit(TRAIN_SHARE * ROUNDS))
+def learned(model: Model, train: DataFrame, tokens: int, kind: np.dtype) -> Model:
+    """(h: hash of id and text, ids) of all training texts, which have so many tokens -> the model trained on all of them."""
+    shards = ROUNDS * max(1, -(-tokens // (ROUNDS * SHARD_TOKENS)))
+    tasks = min(MOST_TASKS, shards // ROUNDS)
+    dealt = train.withColumn("shard", F.pmod("h", F.lit(shards)))
+    names = list(model.p)
     for i in range(ROUNDS):
-        model = averaged(model, train.where(part == i * TRAIN_SHARE).select("text"), ranks)
+        rate = RATE * (LAST_RATE / RATE) ** (i / max(1, ROUNDS - 1))
+        part = dealt.where(F.col("shard") % ROUNDS == i).repartition(tasks, "shard").sortWithinPartitions("shard", "h", "ids").select("shard", "ids")
+        model = averaged(model, part, names, rate, kind, tasks)
     return model
 
 
-def averaged(model: Model, train: DataFrame, ranks) -> Model:
-    """Every task trains on its own texts from the same weights, which are then averaged by tokens, in parts and then on the driver."""
-    shared = train.sparkSession.sparkContext.broadcast(model)
-    names = list(model.p)
+def averaged(model: Model, part: DataFrame, names: list[str], rate: float, kind: np.dtype, tasks: int) -> Model:
+    """Every shard is trained from the same weights, which are then averaged by tokens: by task, in parts, and on the driver."""
+    shared = part.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches):
-        own_model, subwords, held, tokens = shared.value, Subwords(ranks.value), [], 0
-        own_model.p = dict(own_model.p)
-        step, rng = own_model.trainer(lambda t: TASK_RATE), np.random.default_rng(7)
-
-        def spend(least: int):
-            nonlocal held
-            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-            order = rng.permutation(len(rows[0]))
-            while len(order) >= least:
-                pick, order = order[:BATCH], order[BATCH:]
-                step(*(x[pick] for x in rows))
-            held = [tuple(x[order] for x in rows)]
+        own, total, weights = shared.value, 0, np.zeros(0)
+        start, held, of = own.p, [], None
+
+        def spend():
+            nonlocal total, weights
+            own.p = {k: v.copy() for k, v in start.items()}
+            n = own.train(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), rate)
+            flat = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float64) * n
+            total, weights, own.p = total + n, weights + flat if total else flat, start
 
         for batch in batches:
-            for a, b in slices(batch.column(0)):
-                own, before, targets, _ = own_model.rows(*subwords.of(Words(batch.column(0).slice(a, b - a))), b - a)
-                tokens += int((targets != own_model.pad).sum())
-                held.append((own, before, targets))
-                if sum(len(x[0]) for x in held) > 64 * BATCH:
-                    spend(BATCH)
+            shard = batch.column("shard").to_numpy()
+            for a, b, ids, sizes in texts_in(batch.column("ids"), kind):
+                edges = [0, *(np.flatnonzero(np.diff(shard[a:b])) + 1).tolist(), b - a]
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                for x, y in zip(edges, edges[1:], strict=False):
+                    if held and shard[a + x] != of:
+                        spend()
+                        held = []
+                    of = shard[a + x]
+                    held.append((ids[ends[x] : ends[y]].copy(), sizes[x:y]))
         if held:
-            spend(1)
-            flat = np.concatenate([own_model.p[k].ravel() for k in names]).astype(np.float64) * tokens
-            yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([flat.tobytes()], pa.binary())], ["tokens", "weights"])
+            spend()
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([weights.tobytes()], pa.binary())], ["tokens", "weights"])
 
     def add(batches):
         total, weights = 0, 0
@@ -365,10 +399,9 @@ def averaged(model: Model, train: DataFrame, ranks) -> Model:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([weights.tobytes()], pa.binary())], ["tokens", "weights"])
 
-    kind = "tokens long, weights binary"
-    sums = materialize(train.mapInArrow(learn, kind).repartition(32).mapInArrow(add, kind))
+    form, parts = "tokens long, weights binary", min(32, -(-tasks // 16))
     total, weights = 0, 0
-    for row in sums.toLocalIterator():
+    for row in materialize(part.mapInArrow(learn, form).repartition(parts).mapInArrow(add, form)).toLocalIterator():
         total, weights = total + row.tokens, weights + np.frombuffer(row.weights)
     if total:
         at = 0
@@ -376,6 +409,7 @@ def averaged(model: Model, train: DataFrame, ranks) -> Model:
             size = model.p[k].size
             model.p[k] = (weights[at : at + size] / total).astype(np.float32).reshape(model.p[k].shape)
             at += size
+    shared.destroy()
     return model
 
 
@@ -408,88 +442,93 @@ def word_counts(train: DataFrame) -> DataFrame:
     return parts.groupBy("h", "word").agg(F.sum("n").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.first("word").alias("word"))
 
 
-def subword_counts(counts: DataFrame, ranks) -> np.ndarray:
-    """The count of each subword: each distinct word is encoded once. Tasks send the vocabulary's size at most, summed before the driver."""
-    size = max(ranks.value.values(), default=0) + 1
+def subword_counts(texts: DataFrame, size: int, kind: np.dtype) -> np.ndarray:
+    """The count of each subword in (ids). Tasks send the vocabulary's size at most, summed before the driver."""
 
     def count(batches):
-        subwords, pieces = Subwords(ranks.value), np.zeros(size, np.int64)
+        pieces = np.zeros(size, np.int64)
         for batch in batches:
-            column = batch.column("word")
-            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            if not len(column):
-                continue
-            data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
-            length = np.diff(offsets)
-            text = np.zeros(length.sum() + len(length), np.uint8)
-            at = np.repeat(np.arange(len(length)) + 1 - offsets[0], length) + np.arange(offsets[0], offsets[-1])
-            text[at] = data[offsets[0] : offsets[-1]]
-            flat, n = subwords.spaced(text, length + 1)
-            pieces += np.bincount(flat, weights=np.repeat(batch.column("n").to_numpy(), n), minlength=size).astype(np.int64)
+            for _, _, ids, _ in texts_in(batch.column(0), kind):
+                pieces += np.bincount(ids, minlength=size)
         have = np.flatnonzero(pieces)
         yield pa.RecordBatch.from_arrays([pa.array(have), pa.array(pieces[have])], ["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for row in counts.select("word", "n").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in texts.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[row.id] = row.n
     return out
 
 
-def scored(docs: DataFrame, train: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, held_out, text) of docs and (text) of training -> the columns of op7."""
+def scored(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(doc_id, held_out, text) -> the columns of op7; the texts that aren't held out train."""
     spark = docs.sparkSession
     small_batches(spark)
     vocabulary = load_ranks(tokenizer)
+    size = max(vocabulary.values(), default=0) + 1
+    kind = np.dtype(np.uint16 if size <= 1 << 16 else np.int32)
     ranks = spark.sparkContext.broadcast(vocabulary)
+    text = F.col("text").cast("string")
+    train = docs.where(~F.col("held_out")).select(text.alias("text"))
     counts = materialize(word_counts(train))
     ends = train.count()
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = whole.n + ends, whole.v + (ends > 0)
-    floor = max(1, -(-total // (1 << FREQUENT_BITS)))
+    bottom, floor = total + 0.5 * (distinct + 1), max(1, -(-total // (1 << FREQUENT_BITS)))
     frequent = counts.where(F.col("n") >= floor).select("h", "n").toArrow()
     order = np.argsort(frequent.column("h").to_numpy())
-    known = (frequent.column("h").to_numpy()[order], frequent.column("n").to_numpy()[order])
-    model = refine(warm(Model(subword_counts(counts, ranks), ends), train, vocabulary), train, ranks)
-    shared = spark.sparkContext.broadcast((model, known))
-    bottom = total + 0.5 * (distinct + 1)
+    known = spark.sparkContext.broadcast((frequent.column("h").to_numpy()[order], np.log10((frequent.column("n").to_numpy()[order] + 0.5) / bottom)))
 
-    def score(batches):
-        model, (hashes, n) = shared.value
-        subwords = Subwords(ranks.value)
-        log = np.log10((n + 0.5) / bottom)
+    def encode(batches):
+        hashes, log = known.value
+
+        def noted(h: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(hashes, h.view(np.int64)), max(0, len(hashes) - 1))
+            return np.where(hashes[at] == h.view(np.int64), log[at], np.nan) if len(hashes) else np.full(len(h), np.nan)
+
+        subwords = Subwords(ranks.value, noted)
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 part = batch.slice(a, b - a)
                 words, texts = Words(part.column("text")), b - a
-                h = words.hash.view(np.int64)
-                at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
-                hit = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
-                base = np.bincount(words.doc[hit], weights=log[at[hit]], minlength=texts) + np.log10((ends + 0.5) / bottom)
+                ids, sizes, log_of = subwords.of(words)
+                hit = ~np.isnan(log_of)
+                base = np.bincount(words.doc[hit], weights=log_of[hit], minlength=texts) + np.log10((ends + 0.5) / bottom)
                 seen = np.bincount(words.doc[hit], minlength=texts) + (ends > 0)
-                doc, rest = words.doc[~hit], h[~hit]
+                doc, rest = words.doc[~hit], words.hash.view(np.int64)[~hit]
                 sort = np.lexsort((rest, doc))
                 doc, rest = doc[sort], rest[sort]
                 first = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(rest) != 0)])) if len(doc) else np.zeros(0, np.int64)
                 times = np.diff(np.append(first, len(doc)))
                 offsets = pa.array(np.searchsorted(doc[first], np.arange(texts + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (rest[first], times.astype(np.int32))]
-                lm = model.score(*subwords.of(words), texts)
-                yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(texts)), part.column("doc_id"), part.column("held_out"), pa.array(words.count + 1), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(lm), *lists], ["uid", "doc_id", "held_out", "n_tokens", "seen", "base", "score", "words", "times"])
+                ends_at = np.concatenate([[0], np.cumsum(sizes)]) * kind.itemsize
+                packed = pa.Array.from_buffers(pa.large_binary(), texts, [None, pa.py_buffer(ends_at.astype(np.int64)), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(texts)), part.column("doc_id"), part.column("held_out"), part.column("h"), pa.array(words.count + 1), pa.array(seen.astype(np.int64)), pa.array(base), packed, *lists], ["uid", "doc_id", "held_out", "h", "n_tokens", "seen", "base", "ids", "words", "times"])
                 uid += texts
 
-    kind = dict(docs.dtypes)["doc_id"]
-    part = docs.select("doc_id", "held_out", F.col("text").cast("string").alias("text")).mapInArrow(score, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, seen long, base double, score double, words array<long>, times array<int>")
-    part = materialize(part)
+    key = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", "held_out", F.xxhash64("doc_id", text).alias("h"), text.alias("text"))
+    part = materialize(rows.mapInArrow(encode, f"uid long, doc_id {key}, held_out boolean, h long, n_tokens long, seen long, base double, ids binary, words array<long>, times array<int>"))
+    learning = part.where(~F.col("held_out"))
+    pieces = subword_counts(learning.select("ids"), size, kind)
+    model = learned(Model(pieces, ends), learning.select("h", "ids"), int(pieces.sum()) + ends, kind)
+    shared = spark.sparkContext.broadcast(model)
+
+    def score(batches):
+        for batch in batches:
+            got = [shared.value.score(ids, sizes) for _, _, ids, sizes in texts_in(batch.column("ids"), kind)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(got) if got else np.zeros(0))], [*batch.schema.names[:-1], "score"])
+
     rare = part.select("uid", F.explode(F.arrays_zip("words", "times")).alias("w")).select("uid", F.col("w.words").alias("h"), F.col("w.times").alias("times"))
     rare = rare.join(counts.where(F.col("n") < floor).select("h", "n"), "h", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(bottom)))
     sums = rare.groupBy("uid").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))
-    out = part.drop("words", "times").join(sums, "uid", "left")
+    scores = part.select("uid", "doc_id", "held_out", "n_tokens", "seen", "base", "ids").mapInArrow(score, f"uid long, doc_id {key}, held_out boolean, n_tokens long, seen long, base double, score double")
+    out = scores.join(sums, "uid", "left")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = crc_fold("doc_id", 5) == 1
-    return scored(docs.select("doc_id", held.alias("held_out"), "text"), docs.where(~held).select(F.col("text").cast("string").alias("text")))
+    return scored(docs.select("doc_id", (crc_fold("doc_id", 5) == 1).alias("held_out"), "text"))
