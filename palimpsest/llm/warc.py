@@ -5,7 +5,7 @@ headers (the metadata record in its block, the conversion its content type), and
 digest of the derivative. Record ids are name-based on the source's id, so reruns agree. Each row is derived by itself.
 
 Null payloads count as empty; null uris become the empty one. Repeated rows give repeated records. Payloads are decoded as UTF-8,
-bad bytes replaced. Other columns of the input are not read, whatever their names.
+bad bytes replaced. Very long payloads are read whole, in one pass. Empty tables give an empty result. Other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +24,11 @@ from pyspark.sql import functions as F
 from .runtime import small_batches, table
 
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:palimpsest:warc")
-GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
-BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>", re.I)
-TAG = re.compile(r"</?[a-zA-Z][^>]*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "title", "svg", "iframe", "textarea")}
+BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section select table tbody td tfoot th thead tr ul".split())
+LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SCHEMA = "key {key}, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, payload_digest string, block_digest string, content_length long, block string"
 
 
@@ -41,11 +40,46 @@ def record_id(*names: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, chr(10).join(names))}>"
 
 
-def plain(html: str) -> str:
-    """All visible text, a line for each block that has any."""
-    text = TAG.sub("", BLOCK.sub("\n", GONE.sub(" ", html)))
-    lines = (" ".join(x.split()) for x in text.split("\n"))
-    return "\n".join(unescape(x) for x in lines if x)
+def read(html: str) -> tuple[str, str, list[str], str]:
+    """(title, language, links, visible text with a line for each block that has any) of a page, in one pass from tag to tag."""
+    title, lang, links, out, at = None, None, [], [], 0
+    while (start := html.find("<", at)) >= 0:
+        mark = html[start + 1 : start + 2]
+        m = NAME.match(html, start)
+        if not m and mark not in ("!", "?"):
+            out.append(html[at : start + 1].replace("\n", " "))
+            at = start + 1
+            continue
+        out.append(html[at:start].replace("\n", " "))
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            out.append(" ")
+            at = end + 3 if end >= 0 else len(html)
+            continue
+        end = html.find(">", start)
+        if end < 0:  # no tag ends from here on
+            at = start
+            break
+        at = end + 1
+        if not m:
+            out.append(" ")
+            continue
+        name, opens = m[1].lower(), mark != "/"
+        if opens and name in RAW:
+            stop = RAW[name].search(html, at)
+            if name == "title" and title is None:
+                title = html[at : stop.start() if stop else len(html)]
+            at = stop.end() if stop else len(html)
+            out.append(" ")
+        elif name in BLOCK:
+            out.append("\n")
+        if opens and name == "a" and (x := HREF.search(html, m.end(), end)):
+            links.append(x[1] or x[2] or x[3] or "")
+        if opens and name == "html" and lang is None and (x := LANG.search(html, m.end(), end)):
+            lang = x[1].lower()
+    out.append(html[at:].replace("\n", " "))
+    lines = (" ".join(x.split()) for x in "".join(out).split("\n"))
+    return title or "", lang or "", links, "\n".join(unescape(x) for x in lines if x)
 
 
 def field(value: str) -> str:
@@ -55,14 +89,12 @@ def field(value: str) -> str:
 def derive_one(source: str, uri: str, date: str, headers: str, payload: str) -> list[tuple]:
     """The two records of a response: (type, id, refers to, uri, date, content type, payload digest, block digest, length, block)."""
     own = digest(payload.encode("utf-8", "replace"))
-    title = TITLE.search(payload)
-    lang = LANG.search(payload)
-    links = [next((g for g in x if g), "") for x in LINK.findall(payload)]
-    about = [("title", field(unescape(title[1])) if title else ""), ("language", lang[1].lower() if lang else ""), ("source-payload-digest", own), ("source-content-length", str(len(payload.encode("utf-8", "replace"))))]
+    title, lang, links, text = read(payload)
+    about = [("title", field(unescape(title))), ("language", lang), ("source-payload-digest", own), ("source-content-length", str(len(payload.encode("utf-8", "replace"))))]
     about += [("source-header", field(h)) for h in headers.split("\r\n") if h.strip()]
     about += [("outlink", field(unescape(x))) for x in links if x]
     out = []
-    for kind, content, block in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in about if v)), ("conversion", "text/plain; charset=utf-8", plain(payload))):
+    for kind, content, block in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in about if v)), ("conversion", "text/plain; charset=utf-8", text)):
         data = block.encode("utf-8", "replace")
         out.append((kind, record_id(source, kind), source, uri, date, content, own, digest(data), len(data), block))
     return out

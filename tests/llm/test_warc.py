@@ -1,7 +1,11 @@
 import base64
 import hashlib
+import time
+from html.parser import HTMLParser
 
-from palimpsest.llm.warc import derive, op6_warc, parse_warc, plain, read_warc, responses_of, serialized, write_warc
+import pytest
+
+from palimpsest.llm.warc import derive, op6_warc, parse_warc, read, read_warc, responses_of, serialized, write_warc
 
 HTML = '<html lang="EN"><head><title>A &amp; B</title><script>x("<p>")</script></head><body><p>One&nbsp;two<br>three</p><a href="/x?a=1&amp;b">go</a> <a href=\'y\'>é</a><!-- no --></body></html>'
 
@@ -10,6 +14,41 @@ def sha1(data):
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def plain(html):
+    return read(html)[3]
+
+
+class Brute(HTMLParser):
+    """Visible text by the standard library's parser, a line for each block."""
+
+    BLOCKS = set("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section select table tbody td tfoot th thead tr ul".split())
+    GONE = set("script style noscript template title svg iframe textarea".split())
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.out, self.inside = "", 0
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag in self.GONE
+        self.out += "\n" if tag in self.BLOCKS and not self.inside else ""
+
+    def handle_endtag(self, tag):
+        self.inside -= tag in self.GONE
+        self.out += "\n" if tag in self.BLOCKS and not self.inside else ""
+
+    def handle_data(self, data):
+        self.out += data.replace("\n", " ") if not self.inside else " "
+
+
+@pytest.mark.parametrize("text", ["<a " * 350_000, "<a" * 500_000 + ">", "<title" * 150_000, "<script>" * 120_000, "<!--" * 250_000, "<" * 1_000_000, "<a href=" * 120_000 + ">", "</script " * 100_000, "<p>" * 300_000], ids=lambda t: t[:8])
+def test_linear(text):
+    began = time.perf_counter()
+    read(text)
+    assert time.perf_counter() - began < 10
+
+
 def test_plain():
     assert plain(HTML) == "One\xa0two\nthree\ngo é" and plain("") == "" and plain("a < b") == "a < b"
 
@@ -48,5 +87,8 @@ def test_whole_table(spark, sf):
     assert {(r.page_id, r.record_type) for r in rows} == {(i, k) for i in pages for k in ("metadata", "conversion")}
     for r in rows:
         assert r.payload_digest == sha1((pages[r.page_id].html or "").encode()) and r.block_digest == sha1(r.block.encode())
+        if r.record_type == "conversion":
+            words = [" ".join(x.split()) for x in Brute(pages[r.page_id].html or "").out.split("\n")]
+            assert [" ".join(x.split()) for x in r.block.split("\n")] == [x for x in words if x]
     assert sorted(r.record_id for r in op6_warc(spark, sf).collect()) == sorted(r.record_id for r in rows)
     assert derive(responses_of(spark.read.parquet(f"{sf}/pages.parquet").limit(0))).collect() == []
