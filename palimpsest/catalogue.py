@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import Bool, Date, Engine, Enum, Numeric, Query, String, all_of, any_of, between, contains, eq, ge, gt, le, lt, matches, ne, negate
+from . import Bool, Change, Date, Engine, Enum, Numeric, Query, String, all_of, any_of, between, contains, eq, ge, gt, le, lt, matches, ne, negate
 from .operators.deltas import VALUES
 from .sources.items import parse_column
 
@@ -154,6 +154,16 @@ order_hits("full_scan", None, "TRUE")
 hits("doc_contains", documents, contains("text", "Language"), f"SELECT * FROM documents WHERE {has('text', 'language')}")
 hits("doc_contains_multiword", documents, contains("text", "open source"), f"SELECT * FROM documents WHERE {has('text', 'opensource')}")
 hits("doc_match", documents, 'FROM documents WHERE text MATCH "MIT License"', f"SELECT * FROM documents WHERE {has('text', 'mit license')}")
+def scripts(spark: SparkSession, d: str) -> Engine:
+    """Documents, every third with Hindi and Thai words before its text; vowel signs are alphabetic, joined words are others."""
+    words = F.when(F.col("doc_id") % 3 == 0, "हिन्दी भाषा, นี่ ดี-มาก ").when(F.col("doc_id") % 3 == 1, "हिन्द डी ดีมากนี่ ").otherwise("")
+    return Engine.with_entities(spark, {"scripts": (read(spark, d, "documents").select("doc_id", F.concat(words, "text").alias("text")), "doc_id", {"text": String(term=True)})})
+
+
+SCRIPTS = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'हिन्दी भाषा, นี่ ดี-มาก ' WHEN 1 THEN 'हिन्द डी ดีมากนี่ ' ELSE '' END || text AS text FROM documents WHERE doc_id % 3 = "
+hits("term_hindi", scripts, contains("text", "हिन्दी"), SCRIPTS + "0")
+hits("term_hindi_phrase", scripts, matches("text", "हिन्दी भाषा นี่"), SCRIPTS + "0")
+hits("term_thai", scripts, 'FROM scripts WHERE text CONTAINS "ดีมาก" OR text CONTAINS "ดีมากนี่"', SCRIPTS + "0 UNION ALL " + SCRIPTS + "1")
 hits("doc_match_repeat", documents, matches("text", "the the"), f"SELECT * FROM documents WHERE {has('text', 'the the')}")
 hits("doc_match_empty", documents, matches("text", " ... "), "SELECT * FROM documents WHERE FALSE")
 hits("doc_not_match", documents, negate(matches("text", "public license")), f"SELECT * FROM documents WHERE NOT COALESCE({has('text', 'public license')}, FALSE)")
@@ -199,12 +209,12 @@ options("facet_sort_ignored", customer, 'FROM customer WHERE c_mktsegment = "BUI
 # Deltas. Each is a rule over whole orders, so that SQL can state the outcome as a CASE.
 
 
-def delta(items: DataFrame, field: str, after, date: str, branch: int | None = None, seq: int = 0, where=None, id_shift: int = 0) -> DataFrame:
+def delta(items: DataFrame, field: str, after, date, branch: int | None = None, seq: int = 0, where=None, id_shift: int = 0) -> DataFrame:
     """A change of the field to `after` (a Column) for all items, or those where the Column holds."""
     kind = ORDERS[field].kind
     rows = items.where(where) if where is not None else items
     cells = [(after.cast({"v_str": "string", "v_num": "double", "v_date": "date"}[v]) if v == kind else F.lit(None)).alias(v) for v in VALUES]
-    return rows.select(F.lit(0 if branch is None else branch + 1).alias("branch_key"), F.lit(date).cast("date").alias("as_of"), F.lit(seq).alias("seq"), (F.col("o_orderkey") + id_shift).alias("id"), F.lit(field).alias("field"), *cells)
+    return rows.select(F.lit(0 if branch is None else branch + 1).alias("branch_key"), (F.lit(date).cast("date") if isinstance(date, str) else date).alias("as_of"), F.lit(seq).alias("seq"), (F.col("o_orderkey") + id_shift).alias("id"), F.lit(field).alias("field"), *cells)
 
 
 def changed(name: str, text: str, make: Callable[[DataFrame], list[DataFrame]], sql: str) -> None:
@@ -309,3 +319,43 @@ add("remove", removed, f"SELECT {ORDER_COLUMNS} FROM orders WHERE NOT o_totalpri
 add("clear", cleared, "SELECT CAST(0 AS BIGINT) AS id WHERE FALSE")
 add("flatten_props", lambda spark, d: Query("events").where(ge("props.k", 50)).hits(events(spark, d)), "SELECT event_id, strftime(ts, '%Y-%m-%d') AS ts, user_id, event_type, value, CAST(json_extract(props, '$.k') AS DOUBLE) AS props_k FROM events WHERE CAST(json_extract(props, '$.k') AS DOUBLE) >= 50")
 add("unknown_entity", lambda spark, d: Query.parse("FROM nobody WHERE a = 1").run(orders(spark, d)), "SELECT CAST(0 AS BIGINT) AS id WHERE FALSE")
+# 2,000 dates, of which the search sees those up to its own.
+changed(
+    "delta_many_dates",
+    'FROM orders WHERE o_totalprice < 100000 AS OF "2018-06-01"',
+    lambda o: [delta(o, "o_totalprice", F.col("o_totalprice") - 1000, F.date_add(F.lit("2015-01-01").cast("date"), F.pmod("o_orderkey", F.lit(2000)).cast("int")))],
+    seen("o_totalprice < 100000", o_totalprice="CASE WHEN DATE '2015-01-01' + CAST(o_orderkey % 2000 AS INTEGER) <= DATE '2018-06-01' THEN o_totalprice - 1000 ELSE o_totalprice END"),
+)
+
+
+def store_deltas(spark: SparkSession, d: str) -> DataFrame:
+    engine = orders(spark, d)
+    engine.store_deltas("orders", "2019-01-01", [Change(1, "o_totalprice", 5), Change(2, "o_totalprice", 6.5), Change(1, "o_totalprice", 7), Change(3, "o_orderstatus", "P")])
+    engine.store_deltas("orders", "2019-02-01", [Change(2, "o_totalprice", 8)], branch=4)
+    return engine.hits('FROM orders WHERE o_totalprice < 10000 OR o_orderstatus = "P" AS OF "2019-01-15"')
+
+
+add("store_deltas", store_deltas, seen("o_totalprice < 10000 OR o_orderstatus = 'P'", o_totalprice="CASE o_orderkey WHEN 1 THEN 7.0 WHEN 2 THEN 6.5 ELSE o_totalprice END", o_orderstatus="CASE o_orderkey WHEN 3 THEN 'P' ELSE o_orderstatus END"))
+
+
+def delta_match(spark: SparkSession, d: str) -> DataFrame:
+    """Terms over an overlay: some texts are changed, and are found by their new words only."""
+    engine = documents(spark, d)
+    cells = [(F.lit("The  new-words, here").alias(v) if v == "v_str" else F.lit(None).alias(v)) for v in VALUES]
+    items = engine.entity("documents").items
+    engine.attach_deltas("documents", items.where("doc_id % 5 = 0").select(F.lit(0).alias("branch_key"), F.lit("2020-01-01").cast("date").alias("as_of"), F.lit(0).alias("seq"), F.col("doc_id").alias("id"), F.lit("text").alias("field"), *cells))
+    return engine.hits('FROM documents WHERE text MATCH "newwords here" OR text CONTAINS "license" AS OF "2020-01-01"')
+
+
+add("delta_match", delta_match, f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'The  new-words, here' ELSE text END AS text, lang, source, CAST(n_chars AS DOUBLE) AS n_chars FROM documents WHERE doc_id % 5 = 0 OR {has('text', 'license')}")
+add("get_items", lambda spark, d: orders(spark, d).get("orders", 7, 3, 3, -1), f"SELECT {ORDER_COLUMNS} FROM orders WHERE o_orderkey IN (3, 7, -1)")
+
+
+def option_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Facets as one map a field, dates with an empty one: how many values and what count each map holds."""
+    maps = orders(spark, d).option_maps('FROM orders WHERE o_orderstatus = "F"')
+    return maps.select("field", F.size("values").cast("long").alias("n_values"), F.aggregate(F.map_values("values"), F.lit(0).cast("long"), lambda a, x: a + x).alias("hits"))
+
+
+FIELDS = ("o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+add("option_maps", option_maps, " UNION ALL ".join(f"SELECT '{f}' AS field, COUNT(DISTINCT {f}) AS n_values, COUNT(*) FILTER (o_orderstatus = 'F' AND {f} IS NOT NULL) AS hits FROM orders" for f in FIELDS) + " UNION ALL SELECT 'o_orderdate', 0, 0")

@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import EntityAlreadyExists, EntityNotFound, InvalidInput, MissingIndex
+from .functions.columns import column
 from .operators import deltas as D
 from .operators.facets import facets, rolled
 from .operators.paging import ordered, paged
@@ -34,22 +36,25 @@ class Entity:
     seq: int = 0
     store: Store | None = None
 
+    def overlaid(self, scope: Scope | None) -> bool:
+        return scope is not None and self.deltas is not None and bool(self.indices)
+
     def view(self, scope: Scope | None) -> DataFrame:
         """The items as a scope sees them; without a scope, the base."""
-        if scope is None or self.deltas is None or not self.indices:
+        if not self.overlaid(scope):
             return self.items
         return D.overlay(self.items, self.id_column, self.deltas, scope, self.indices)
 
 
 class Engine:
-    """With a root, entities are kept there and those found are opened; else they live as plans in the session."""
+    """With a root, entities are kept there and those found are opened; else they live as plans in the session. buckets: of new stored entities, instead of by their size."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None):
+        self.spark, self.root, self.buckets = spark, root, buckets
         self.entities: dict[str, Entity] = {}
         for name in Store.entities(spark, root) if root else ():
             store = Store(spark, root, name).open()
-            deltas = store.deltas() if store.meta["seq"] else None
+            deltas = store.deltas() if store.meta["deltas"] else None
             self.entities[name] = Entity(name, store.items(), store.meta["id"], store.indices, deltas, store.meta["seq"], store)
 
     @staticmethod
@@ -66,8 +71,8 @@ class Engine:
             raise EntityAlreadyExists(name)
         self.entities[name] = Entity(name)
         if self.root:
-            self.entities[name].store = Store(self.spark, self.root, name)
-            self.entities[name].store.publish()
+            self.entities[name].store = Store(self.spark, self.root, name, self.buckets)
+            self.entities[name].store.change(lambda meta: None)
 
     def entity(self, name: str) -> Entity:
         if name not in self.entities:
@@ -113,11 +118,16 @@ class Engine:
         else:
             e.items = items if e.items is None else upsert(e.items, items, e.id_column)
 
-    def remove(self, name: str, *ids: int) -> None:
+    def remove(self, name: str, *ids: int | DataFrame) -> None:
+        """Items by ids, or by a DataFrame of any size with the id column; unknown ids have no effect."""
         e = self.entity(name)
         if e.items is None or not ids:
             return
-        gone = self.spark.createDataFrame([(int(i),) for i in set(ids)], f"`{e.id_column}` long")
+        frames = [i.select(column(e.id_column).cast("long").alias(e.id_column)) for i in ids if isinstance(i, DataFrame)]
+        numbers = {int(i) for i in ids if not isinstance(i, DataFrame)}
+        if numbers:
+            frames.append(self.spark.createDataFrame([(i,) for i in numbers], f"`{e.id_column}` long"))
+        gone = reduce(DataFrame.union, frames).distinct()
         if e.store:
             e.store.remove(gone, e.id_column)
             e.items = e.store.items()
@@ -128,8 +138,7 @@ class Engine:
         """No items and no declarations; deltas stay."""
         e = self.entity(name)
         if e.store:
-            e.store.meta |= {"at": {}, "schema": None, "indices": {}}
-            e.store.publish()
+            e.store.clear()
         e.items, e.indices = None, {}
 
     def create_index(self, name: str, field_name: str, index: Index) -> None:
@@ -139,8 +148,7 @@ class Engine:
             self._validate(e.items, {field_name: index})
         e.indices[field_name] = index
         if e.store:
-            e.store.meta["indices"][field_name] = index.to_json()
-            e.store.publish()
+            e.store.declare(field_name, index)
 
     @staticmethod
     def _validate(items: DataFrame, indices: dict[str, Index]) -> None:
@@ -162,10 +170,10 @@ class Engine:
         new = deltas.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in D.SCHEMA.split(", ")])
         if e.store:
             e.store.append_deltas(new, count)
-            e.deltas = e.store.deltas()
+            e.deltas, e.seq = e.store.deltas(), e.store.meta["seq"]
         else:
             e.deltas = new if e.deltas is None else e.deltas.union(new)
-        e.seq += count
+            e.seq += count
 
     # Reads. Unknown entities, and those without items, have no items and no facets.
     def _nothing(self, schema: str = "id long") -> DataFrame:
@@ -179,6 +187,8 @@ class Engine:
         e = self.entities.get(q.entity)
         if e is None or e.items is None:
             return self._nothing()
+        if q.filter is not None and e.overlaid(q.scope):
+            return D.overlaid_hits(e.items, e.id_column, e.deltas, q.scope, e.indices, lambda items: self._hit(e, items, q))
         items = e.view(q.scope)
         return items.where(self._hit(e, items, q)) if q.filter is not None else items
 

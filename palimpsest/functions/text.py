@@ -6,16 +6,12 @@ A text is split at Unicode white space; of each piece the alphanumeric character
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Unicode's White_Space.
-SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-FOLD = str.maketrans(UPPER, LOWER)
+#: Unicode's White_Space, and what is neither alphanumeric nor white space; one rule for texts and for arguments.
+SPACE, JUNK = r"\p{IsWhite_Space}", r"[^\p{IsAlphabetic}\p{N}\p{IsWhite_Space}]"
 
 
 def padded(text: Column) -> Column:
@@ -24,8 +20,8 @@ def padded(text: Column) -> Column:
     What is neither alphanumeric nor white space goes first, then runs of white space become one space: the same terms as
     piece by piece, in two passes without an array.
     """
-    kept = F.regexp_replace(text, r"[^\p{IsAlphabetic}\p{N}\p{IsWhite_Space}]+", "")
-    spaced = F.trim(F.regexp_replace(kept, r"\p{IsWhite_Space}+", " "))
+    kept = F.regexp_replace(text, f"{JUNK}+", "")
+    spaced = F.trim(F.regexp_replace(kept, f"{SPACE}+", " "))
     return F.concat(F.lit(" "), F.translate(spaced, UPPER, LOWER), F.lit(" "))
 
 
@@ -34,26 +30,23 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.trim(padded(text)), " "), lambda w: w != "")
 
 
-def _alphanumeric(ch: str) -> bool:
-    return ch.isalpha() or unicodedata.category(ch)[0] == "N"
-
-
-def term_of(word: str) -> str:
-    """One term of a whole argument: its spaces go as well."""
-    return "".join(filter(_alphanumeric, word)).translate(FOLD)
+def found(text: Column, terms: Column) -> Column:
+    """Whether the text has the terms, parted by single spaces, side by side; nothing has none.
 
-
-def terms_of(phrase: str) -> list[str]:
-    return [t for w in re.split(f"[{SPACES}]+", phrase) if (t := term_of(w))]
+    One search of the text as it is, which builds no other text: before each character of a term there may be what doesn't
+    count, and between terms white space. The expression is made of the argument alone, so Spark folds it to a constant.
+    """
+    letters = F.regexp_replace(terms, "([^ ])", f"{JUNK}*+".replace("\\", "\\\\") + "$1")
+    gaps = F.replace(letters, F.lit(" "), F.lit(f"{JUNK}*+{SPACE}[{JUNK}{SPACE}]*+"))
+    expression = F.concat(F.lit(f"(?i)(?:^|{SPACE})"), gaps, F.lit(f"{JUNK}*+(?:{SPACE}|$)"))
+    return (terms != "") & F.regexp_like(text, expression)
 
 
 def contains(text: Column, word: str) -> Column:
-    """The text has the argument as a term; nothing has the empty term."""
-    term = term_of(word)
-    return F.contains(padded(text), F.lit(f" {term} ")) if term else F.lit(False)
+    """The text has the argument, whose spaces go as well, as a term; nothing has the empty term."""
+    return found(text, F.replace(padded(F.lit(word)), F.lit(" "), F.lit("")))
 
 
 def matches(text: Column, phrase: str) -> Column:
     """The text has the phrase's terms in order, side by side; nothing has the empty phrase."""
-    terms = terms_of(phrase)
-    return F.contains(padded(text), F.lit(f" {' '.join(terms)} ")) if terms else F.lit(False)
+    return found(text, F.trim(padded(F.lit(phrase))))

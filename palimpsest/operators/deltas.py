@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidInput, MissingIndex
-from ..functions.columns import column
+from ..functions.columns import column, fresh
 from ..plans.query import Scope
 from ..types import Date, Index
 
 SCHEMA = "branch_key long, as_of date, seq long, id long, field string, v_str string, v_num double, v_bool boolean, v_date date"
 VALUES = ("v_str", "v_num", "v_bool", "v_date")
+TYPES = dict(c.split() for c in SCHEMA.split(", "))
 
 
 @dataclass(frozen=True)
@@ -64,18 +65,34 @@ def overlay(items: DataFrame, id_column: str, deltas: DataFrame, scope: Scope, i
     Changes to unknown ids have no effect. Fields that nobody changes in the scope cost a coalesce, and filters on
     undeclared columns still reach the scan. Spark broadcasts the changes where it has measured them to be small.
     """
-    names = [f for f in sorted(indices) if f in items.columns]
-    new = sorted(set(indices) - set(names))
+    return _laid(items, id_column, wide(deltas, scope, indices), indices, "left")
+
+
+def overlaid_hits(items: DataFrame, id_column: str, deltas: DataFrame, scope: Scope, indices: dict[str, Index], hit: Callable[[DataFrame], Column]) -> DataFrame:
+    """The items of an overlay that a filter takes: those without a change, whose own values it can see in the scan, and those with one, as changed."""
     changes = wide(deltas, scope, indices)
-    where = {f: f"__after_{i}" for i, f in enumerate(sorted(indices))}
-    joined = items.join(changes, column(id_column).cast("long") == F.col("__id"), "left")
+    key = fresh(items, "__changed")[0]
+    same = items.where(hit(items)).join(changes.select(F.col("__id").alias(key)), column(id_column).cast("long") == F.col(key), "left_anti")
+    same = same.select(*[_base(f, items, indices).alias(f) for f in items.columns], *[F.lit(None).cast(TYPES[indices[f].kind]).alias(f) for f in sorted(set(indices) - set(items.columns))])
+    other = _laid(items, id_column, changes, indices, "inner")
+    return same.union(other.where(hit(other)))
+
+
+def _base(field: str, items: DataFrame, indices: dict[str, Index]) -> Column:
+    return column(field) if field not in indices or isinstance(indices[field], Date) else indices[field].read(field, items.schema[field].dataType)
+
+
+def _laid(items: DataFrame, id_column: str, changes: DataFrame, indices: dict[str, Index], how: str) -> DataFrame:
+    """Items joined with wide() changes."""
+    new = sorted(set(indices) - set(items.columns))
+    ours = fresh(items, *changes.columns)
+    changes = changes.toDF(*ours)
+    where = dict(zip(sorted(indices), ours[1:], strict=True))
+    joined = items.join(changes, column(id_column).cast("long") == F.col(ours[0]), how)
     out = []
     for f in items.columns:
-        if f not in names:
-            out.append(column(f))
-            continue
-        kind = items.schema[f].dataType
-        base = column(f) if isinstance(indices[f], Date) else indices[f].read(f, kind)
-        after = F.col(where[f]).cast(kind) if isinstance(indices[f], Date) else F.col(where[f])
-        out.append(F.coalesce(after, base).alias(f))
+        after = None
+        if f in indices:
+            after = F.col(where[f]).cast(items.schema[f].dataType) if isinstance(indices[f], Date) else F.col(where[f])
+        out.append((F.coalesce(after, _base(f, items, indices)) if f in indices else column(f)).alias(f))
     return joined.select(*out, *[F.col(where[f]).alias(f) for f in new])

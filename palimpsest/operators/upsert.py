@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import column
+from ..functions.columns import column, fresh
 
 
 def last_of_each(items: DataFrame, id_column: str) -> DataFrame:
     """Of items with one id within a batch, the last. For batches that keep their order (lists of items)."""
-    place = items.withColumn("__place", F.monotonically_increasing_id())
-    last = F.row_number().over(Window.partitionBy(column(id_column)).orderBy(F.desc("__place")))
-    return place.withColumn("__last", last).where("__last = 1").drop("__place", "__last")
+    at, nth = fresh(items, "__place", "__last")
+    place = items.withColumn(at, F.monotonically_increasing_id())
+    last = F.row_number().over(Window.partitionBy(column(id_column)).orderBy(F.desc(at)))
+    return place.withColumn(nth, last).where(F.col(nth) == 1).drop(at, nth)
 
 
 def upsert(base: DataFrame, new: DataFrame, id_column: str) -> DataFrame:
