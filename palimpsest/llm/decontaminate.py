@@ -6,8 +6,8 @@ picks the texts that may share one; their seeds are joined with the benchmark's
 text and item that shares a seed, the longest matches are marked repeatedly, each word of either side at most once, until
 no match of MIN_TILE words is left. An item is contained if tiles cover at least COVERAGE of its words, in any order.
 
-Null and empty texts hold nothing. Null items and items of fewer than MIN_TILE words can't be told from chance and are not
-tested. Repeated rows are judged alike, each for itself; rows that share an id but not the text are judged by their own
+Null and empty texts hold nothing. Null items and items without a word are in no text. An item of fewer than MIN_TILE words,
+which in a longer text can't be told from chance, is contained in texts of the same words and no others. Repeated rows are judged alike, each for itself; rows that share an id but not the text are judged by their own
 texts. Ties go to the smaller item id. Empty tables give an empty result, or one without hits. Other columns are not read.
 """
 
@@ -130,7 +130,7 @@ def seeds_of(items: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 words = Words(batch.column("text").slice(a, b - a), ALNUM)
-                at, h = words.windows(MIN_TILE)
+                at, h = words.windows(MIN_TILE, short=True)
                 yield pa.RecordBatch.from_arrays([batch.column("item").slice(a, b - a).take(pa.array(words.doc[at])), pa.array(h.view(np.int64))], ["item", "h"])
 
     return items.mapInArrow(cut, "item long, h long").distinct()
@@ -154,7 +154,9 @@ def seed_filter(seeds: DataFrame) -> np.ndarray:
 
 
 def row_key(docs: DataFrame, key: str, text: str):
-    return F.xxhash64(docs[key], docs[text])
+    """128 bits of id and text, null told from empty."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit("-"))
+    return F.md5(F.concat(part(key), F.lit("/"), part(text)))
 
 
 def sharing(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -167,7 +169,7 @@ def sharing(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             for a, b in slices(batch.column("text")):
                 part = batch.slice(a, b - a)
                 words = Words(part.column("text"), ALNUM)
-                at, h = words.windows(MIN_TILE)
+                at, h = words.windows(MIN_TILE, short=True)
                 ok = np.ones(len(h), bool)
                 for slot in probes(h, len(has)):
                     ok &= has[slot]
@@ -179,7 +181,7 @@ def sharing(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([part.column("k").take(take), part.column("text").take(take), pa.array(lists, pa.list_(pa.int64()))], ["k", "text", "hits"])
 
-    return docs.mapInArrow(probe, "k long, text string, hits array<long>")
+    return docs.mapInArrow(probe, "k string, text string, hits array<long>")
 
 
 def tiled(pairs: DataFrame) -> DataFrame:
@@ -190,17 +192,18 @@ def tiled(pairs: DataFrame) -> DataFrame:
             out: list[list] = [[], [], []]
             for a, b in slices(batch.column("text")):
                 sides = [Words(batch.column(c).slice(a, b - a), ALNUM) for c in ("text", "item_text")]
-                wins = [w.windows(MIN_TILE) for w in sides]
+                wins = [w.windows(MIN_TILE, short=True) for w in sides]
                 cuts = [np.searchsorted(w.doc[at], np.arange(b - a + 1)) for w, (at, _) in zip(sides, wins, strict=True)]
                 for r in range(b - a):
                     one = [(w.hash[w.first[r] : w.first[r] + w.count[r]], h[c[r] : c[r + 1]]) for w, (_, h), c in zip(sides, wins, cuts, strict=True)]
-                    found = tiles(one[0][0], one[1][0], one[0][1], one[1][1])
+                    short = min(len(x) for x, _ in one) < MIN_TILE
+                    found = [(len(one[0][0]), 0, 0)] * np.array_equal(one[0][0], one[1][0]) if short else tiles(one[0][0], one[1][0], one[0][1], one[1][1])
                     out[0].append(sum(x[0] for x in found))
                     out[1].append(len(one[1][0]))
                     out[2].append(len(found))
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("item"), *(pa.array(x, pa.int64()) for x in out)], ["k", "item", "covered", "words", "tiles"])
 
-    return pairs.select("k", "text", "item", "item_text").mapInArrow(tile, "k long, item long, covered long, words long, tiles long")
+    return pairs.select("k", "text", "item", "item_text").mapInArrow(tile, "k string, item long, covered long, words long, tiles long")
 
 
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -309,7 +309,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     reps = materialize(prints.join(first, ["p", "q", "id"]).groupBy("id", "p", "q").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     sigs = reps.select("id", "n", "sig")
     rows = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
+    # Written before the join, so that it is a join of its own, whose large buckets Spark splits.
     buckets = rows.groupBy("band", "key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id"), F.col("id"), F.col("n"))).alias("hub")).where("size > 1")
+    buckets = materialize(buckets)
     rows = materialize(rows.join(buckets, ["band", "key"]).select("band", "key", "id", "n", "size", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")))
     star = rows.where(F.col("id") != F.col("hub")).where(F.least("n", "hub_n") >= SIMILARITY * F.greatest("n", "hub_n")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     side = lambda c: sigs.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}"))
@@ -355,16 +357,20 @@ def repeated(docs: DataFrame, key: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each class, the one with the smallest id; documents in no class, or without id, stay."""
-    classes, _ = near_duplicates(docs, key, text)
-    (name,) = fresh(docs, "id")
-    gone = classes.where("id <> class").select(F.col("id").alias(name))
-    twice = materialize(repeated(docs, key).withColumnRenamed("id", name))
-    same = docs[key].cast("long") == F.col(name)
-    rest = docs.join(gone.union(twice), same, "left_anti")
-    again = docs.join(twice.join(gone, name, "left_anti"), same, "left_semi")
-    one = again.groupBy(F.col(key).alias("__id")).agg(F.min(F.struct(*[again[c] for c in docs.columns])).alias("__row")).select("__row.*")
-    return rest.unionByName(one)
+    """docs with one row of each class, that of the smallest id (null last); rows in no class stay.
+
+    Every row is a document of its own, so rows that share an id but not the text are judged by their own texts, and of repeated
+    rows one stays. Columns of any type pass untouched; rows are told apart by a number, not by their values.
+    """
+    (number,) = fresh(docs, "number")
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()))
+    classes, _ = near_duplicates(numbered, number, text)
+    order = F.struct(F.col(key).isNull(), F.col(key), F.xxhash64(text), F.col(number))
+    mine, theirs = fresh(numbered, "in_class", "class")
+    ranked = numbered.select(number, order.alias(mine)).join(classes.select(F.col("id").alias(number), F.col("class").alias(theirs)), number)
+    first = ranked.groupBy(theirs).agg(F.min(mine).alias(mine)).select(F.col(mine)[number].alias(number))
+    gone = classes.select(F.col("id").alias(number)).join(first, number, "left_anti")
+    return numbered.join(gone, number, "left_anti").select(*[numbered[c] for c in docs.columns])
 
 
 def op1_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

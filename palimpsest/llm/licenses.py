@@ -20,12 +20,13 @@ from .runtime import fresh, table
 
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 LEVELS = 4
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 RUN = 256
 
 
 def normal(text: Column) -> Column:
     """Words parted by one space, one more at each end."""
-    words = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    words = F.regexp_replace(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, UPPER.lower()), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
     return F.concat(F.lit(" "), F.trim(words), F.lit(" "))
 
 

@@ -19,16 +19,21 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where the cluster names none, a local one (tests)."""
+    """The folder that all executors share. Where none is named, a local one on a local master (tests), and an error on a cluster, whose executors would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table is kept, as what is returned reads it; emptying the folder's palimpsest/ after a run is the cluster's job.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -82,4 +82,6 @@ def test_reordered_passages_and_edges(spark):
     kept = clean(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5]
     assert {(r.item_id, r.coverage, r.n_items) for r in judged(docs, items).collect()} == {(8, 1.0, 2)}
+    short = spark.createDataFrame([(1, "Too, short!"), (2, "it is too short"), (3, "too"), (4, "too short ones")], "doc_id long, text string")
+    assert [r.doc_id for r in clean(short, items).collect()] == [2, 3, 4]  # an item of a few words is contained in its copies alone
     assert clean(docs.limit(0), items).collect() == [] and clean(docs, items.limit(0)).count() == len(rows)

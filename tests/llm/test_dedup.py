@@ -93,7 +93,11 @@ def test_one_of_each_class_stays(spark):
     kept = deduplicated(docs)
     assert kept.columns == docs.columns
     c = classes(rows)
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([i for i in c if c[i] == i] + [None])
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i in c if c[i] == i)  # the row without an id is a copy of another
+    other, again = " ".join(words(30, 80)), " ".join(words(30, 81))
+    rows = [(1, other), (1, again), (1, other), (2, again + " x"), (None, other), (None, None), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("map", F.create_map(F.lit("a"), F.col("doc_id")))
+    assert Counter((r.doc_id, r.text) for r in deduplicated(docs).collect()) == Counter([(1, other), (1, again), (None, None), (3, None), (3, "")])
     assert deduplicated(docs.limit(0)).collect() == []
     assert near_duplicates(docs.limit(0))[0].collect() == []
 
