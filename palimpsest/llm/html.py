@@ -425,8 +425,9 @@ def extract(pages: DataFrame, keys: list[str], url: str = "url", html: str = "ht
     rows = rows.withColumn("order", F.xxhash64(*names))
     # Counted without the html: each different page of a host, and of a page of many copies the row that stands for all.
     each = materialize(rows.groupBy("host", "m").agg(F.count("*").alias("copies"), F.min("order").alias("first")))
-    many = each.where(F.col("copies") > COPIES).select("host", "m", "first")
-    parts = each.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("host", F.ceil(F.col("n") / EVEN).alias("parts"))
+    # Both are written, so that Spark knows their sizes before it plans the joins, and moves the html once where they are small.
+    many = materialize(each.where(F.col("copies") > COPIES).select("host", "m", "first"))
+    parts = materialize(each.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("host", F.ceil(F.col("n") / EVEN).alias("parts")))
     dealt = rows.join(many, ["host", "m"], "left").where(F.col("first").isNull() | (F.col("first") == F.col("order")))
     dealt = dealt.join(parts, "host", "left").withColumn("part", F.pmod(F.xxhash64("m"), F.coalesce("parts", F.lit(1))))
     dealt = dealt.select("host", "part", "m", "first", *names, "html").repartition("host", "part").sortWithinPartitions("host", "part", "m", *names)
