@@ -17,8 +17,8 @@ the order of their hashes; the shards' weights are averaged by tokens and start
 alone, so the split into files and tasks changes the scores by no more than the rounding of these sums. A shard takes about
 STEPS steps, of LEAST_BATCH blocks at least and BATCH at most.
 
-The base score is a smoothed unigram model of words. Words with at least one in 2 ** FREQUENT_BITS of all tokens (so
-2 ** FREQUENT_BITS at most) are broadcast; all others are counted by text and joined with the table of counts.
+The base score is a smoothed unigram model of words. The most frequent words, 2 ** FREQUENT_BITS at most, are broadcast;
+all others are counted by text and joined with the table of counts.
 
 Null texts count as empty and have the end mark alone. Repeated rows are scored each for itself. Very long texts are one row of
 a task, and are worked through in pieces. Without training texts the base score is 0 a token less nothing known, and the model
@@ -31,6 +31,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import as_strided
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,14 +42,17 @@ from .tokens import Words, slices
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WIDTH, KEYS, VALUES, STRIDE = 24, 8, 16, 16
-#: A cluster of the softmax grows while its classes times its share of all tokens are at most SPAN. Logits beyond LIMIT are shifted.
+#: A cluster of the softmax grows while its classes times its share of all tokens are at most SPAN. Logits are shifted where sums of their exponentials are beyond those of -LIMIT and LIMIT.
 SPAN, LIMIT = 1.0, 60.0
+LEAST_SUM, MOST_SUM = np.exp(-LIMIT), np.exp(LIMIT)
 #: Steps a shard, blocks a step; Adam's rate in the first and the last round.
 STEPS, LEAST_BATCH, BATCH, RATE, LAST_RATE = 64, 16, 512, 3e-2, 3e-3
 SHARD_TOKENS, ROUNDS, MOST_TASKS = 1 << 19, 8, 8192
-FREQUENT_BITS = 20
+FREQUENT_BITS, LEAST_COUNTS = 20, 1024
 #: Blocks scored at once; distinct words a task remembers.
 CHUNK, REMEMBERED = 1024, 1 << 20
+#: Places of a piece of a product; counts of words that a task holds before it sums them.
+PIECE, HELD = 1024, 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -143,14 +147,29 @@ def spans(mass: np.ndarray) -> np.ndarray:
     return np.array(edges)
 
 
-def share(z: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of logits (classes, rows): the log share of class t in each row, exp(z), up to a factor a row, and its sum. Overwrites z."""
-    if max(z.max(initial=0), -z.min(initial=0)) > LIMIT:
+def extreme(total: np.ndarray) -> bool:
+    """Whether some sum of exponentials is too small or too large to be used, or not a number."""
+    return not (LEAST_SUM < total.min(initial=1) and total.max(initial=1) < MOST_SUM)
+
+
+def long(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b, where few rows and columns come from many places: quickest in pieces."""
+    return sum(a[:, i : i + PIECE] @ b[i : i + PIECE] for i in range(0, len(b), PIECE))
+
+
+def exponentials(w: np.ndarray, h: np.ndarray, at: np.ndarray, shift: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of logits w @ h.T (classes, rows): their exponentials, the sum of each row, and the logit of each row's class, which is at a place (flat). shift: by each row's maximum."""
+    z = w @ h.T
+    if shift:
         z -= z.max(axis=0)
-    own = z[t, np.arange(len(t))]
+    own = z.ravel()[at]
     np.exp(z, out=z)
-    total = z.sum(axis=0)
-    return own - np.log(total), z, total
+    return z, np.ones(len(z), z.dtype) @ z, at, own
+
+
+def by_row(y: np.ndarray) -> np.ndarray:
+    """A view of (features, places) as (rows, features, STRIDE)."""
+    return y.reshape(len(y), -1, STRIDE).transpose(1, 0, 2)
 
 
 class Model:
@@ -168,7 +187,8 @@ class Model:
         self.within = np.where(counts == 0, -np.log(max(1, len(counts) - len(seen))), 0.0)
         self.edges = spans(mass)
         clusters = len(self.edges) - 1
-        self.cluster = np.repeat(np.arange(clusters, dtype=np.uint16), np.diff(self.edges))
+        self.cluster = np.repeat(np.arange(clusters), np.diff(self.edges))
+        self.narrow = np.uint16 if self.classes <= 1 << 16 else np.int64  # what is sorted fastest
         whole, rng = np.add.reduceat(mass, self.edges[:-1]), np.random.default_rng(seed)
         make = lambda scale, *s: (rng.standard_normal(s) * scale).astype(np.float32)
         self.p = {
@@ -180,112 +200,131 @@ class Model:
         self.mask = np.where(np.arange(STRIDE)[:, None] + STRIDE < np.arange(2 * STRIDE), -np.inf, 0).astype(np.float32)
 
     def attend(self, own: np.ndarray, first: np.ndarray):
-        """own: (rows, STRIDE) inputs, each row after the one before it but where a text is first. The output's inputs h and what training needs."""
+        """own: (rows, STRIDE) inputs, each row after the one before it but where a text is first. The output's inputs h, with a 1
+        at the end which takes the biases, and what training needs. But for x and h, places are the last axis, as products of
+        small matrices are quick along it."""
         p, n = self.p, len(own)
-        x = p["E"].take(own.ravel(), axis=0)
-        qkv = (x @ p["in"]).reshape(n, STRIDE, -1)
-        k, v = np.zeros((n, KEYS, 2 * STRIDE), x.dtype), np.zeros((n, 2 * STRIDE, VALUES + 1), x.dtype)
-        k[:, :, STRIDE:], v[:, STRIDE:, :VALUES] = qkv[:, :, KEYS : 2 * KEYS].transpose(0, 2, 1), qkv[:, :, 2 * KEYS :]
-        k[1:, :, :STRIDE], v[1:, :STRIDE], v[:, :, VALUES] = k[:-1, :, STRIDE:], v[:-1, STRIDE:], 1
-        a = qkv[:, :, :KEYS] @ k
-        far = p["far"][self.far]
-        if max(a.max(initial=0), -a.min(initial=0)) + np.abs(far).max() > LIMIT:
-            a[first, :, :STRIDE] = a[0, :, :STRIDE] = -np.inf
-            far = far + self.mask
-            a -= (a + far).max(axis=2, keepdims=True)
-        a += far
-        a += self.mask
-        np.exp(a, out=a)
-        a[first, :, :STRIDE] = 0
-        a[0, :, :STRIDE] = 0
-        o = a @ v
-        weight = o[:, :, VALUES:]
-        o = o[:, :, :VALUES] / weight
-        return x + o.reshape(-1, VALUES) @ p["out"], (x, qkv, k, v, a, o, weight)
+        table, project = np.ones((len(p["E"]), WIDTH + 1), p["E"].dtype), np.zeros((VALUES, WIDTH + 1), p["E"].dtype)
+        table[:, :WIDTH], project[:, :WIDTH] = p["E"], p["out"]
+        x = table.take(own.ravel(), axis=0)
+        # Queries, keys, values and a 1. STRIDE empty places come first, so that a row's window starts at the row before it.
+        qkv = np.empty((2 * KEYS + VALUES + 1, (n + 1) * STRIDE), x.dtype)
+        qkv[:, :STRIDE], qkv[-1] = 0, 1
+        np.matmul(p["in"].T, x[:, :WIDTH].T, out=qkv[:-1, STRIDE:])
+        q = by_row(qkv[:KEYS, STRIDE:])
+        k, v = (as_strided(y, (n, len(y), 2 * STRIDE), (STRIDE * y.itemsize, *y.strides), writeable=False) for y in (qkv[KEYS : 2 * KEYS], qkv[2 * KEYS :]))
+        far, o = (p["far"][self.far] + self.mask).astype(x.dtype), np.empty((VALUES + 1, n * STRIDE), x.dtype)
+        for shift in (False, True):
+            a = q.transpose(0, 2, 1) @ k
+            a += far
+            if shift:
+                a[first, :, :STRIDE] = a[:1, :, :STRIDE] = -np.inf
+                a -= a.max(axis=2, keepdims=True)
+            with np.errstate(over="ignore", invalid="ignore"):
+                np.exp(a, out=a)
+                a[first, :, :STRIDE] = a[:1, :, :STRIDE] = 0
+                np.matmul(v, a.transpose(0, 2, 1), out=by_row(o))
+            if not extreme(o[VALUES]):
+                break
+        o, weight = o[:VALUES], o[VALUES]
+        o /= weight
+        h = o.T @ project
+        h += x
+        return h, (x[:, :WIDTH], q, k, v, a, o, weight)
 
     def outputs(self, targets: np.ndarray):
-        """The targets that aren't pad, in order of their clusters: (places, targets, bounds of the clusters among them)."""
+        """The targets that aren't pad, in order of their classes: (places, targets, bounds of the clusters among them)."""
         t = targets.ravel()
         live = np.flatnonzero(t != self.pad)
-        cluster = self.cluster[t[live]]
-        live = live[np.argsort(cluster, kind="stable")]
-        return live, t[live], np.concatenate([[0], np.cumsum(np.bincount(cluster, minlength=len(self.edges) - 1))])
-
-    def classed(self, h: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Rows of h with a 1 at the end, which takes the biases."""
-        out = np.ones((len(live), WIDTH + 1), h.dtype)
-        out[:, :WIDTH] = h.take(live, axis=0)
-        return out
+        live = live[np.argsort(t[live].astype(self.narrow), kind="stable")]
+        t = t[live]
+        return live, t, np.searchsorted(t, self.edges)
+
+    def softmaxes(self, h: np.ndarray, t: np.ndarray, bounds: np.ndarray, shift: bool):
+        """Both levels for rows of h, in order of their classes t: (weights' name, rows, classes, exponentials and so on)."""
+        cluster, place, size = self.cluster[t], np.arange(len(t)), np.diff(bounds)
+        at = cluster * np.minimum(PIECE, len(t) - place // PIECE * PIECE) + place % PIECE
+        for i in range(0, len(t), PIECE):
+            rows = slice(i, min(i + PIECE, len(t)))
+            yield "G", rows, slice(None), *exponentials(self.p["G"], h[rows], at[rows], shift)
+        at = (t - self.edges[cluster]) * size[cluster] + place - bounds[cluster]
+        for x, y, e, f in zip(bounds[:-1], bounds[1:], self.edges[:-1], self.edges[1:], strict=True):
+            if y > x and f > e + 1:
+                yield "O", slice(x, y), slice(e, f), *exponentials(self.p["O"][e:f], h[x:y], at[x:y], shift)
 
     def log_likelihood(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Log probability of each row's targets."""
         live, t, bounds = self.outputs(targets)
-        h, p = self.classed(h, live), self.p
-        got = share(p["G"] @ h.T, self.cluster[t])[0]
-        for c in np.flatnonzero(np.diff(bounds)):
-            x, y, e, f = bounds[c], bounds[c + 1], self.edges[c], self.edges[c + 1]
-            if f > e + 1:
-                got[x:y] += share(p["O"][e:f] @ h[x:y].T, t[x:y] - e)[0]
+        h = h.take(live, axis=0)
+        for shift in (False, True):
+            got, totals = np.zeros(len(t), h.dtype), {k: np.ones(len(t), h.dtype) for k in "GO"}
+            with np.errstate(over="ignore"):
+                for name, rows, _, _, total, _, own in self.softmaxes(h, t, bounds, shift):
+                    got[rows] += own
+                    totals[name][rows] = total
+            if not any(map(extreme, totals.values())):
+                break
         whole = np.zeros(targets.size)
-        whole[live] = got
+        whole[live] = got - np.log(totals["G"]) - np.log(totals["O"])
         return whole.reshape(targets.shape).sum(axis=1)
 
     def distribution(self, h: np.ndarray) -> np.ndarray:
         """Log probabilities of all classes for rows of h."""
         log = lambda z: (z := z - z.max(axis=0)) - np.log(np.exp(z).sum(axis=0))
-        h = self.classed(h, np.arange(len(h))).T
-        outer = log(self.p["G"] @ h)
-        return np.concatenate([outer[c] + log(self.p["O"][e:f] @ h) for c, (e, f) in enumerate(zip(self.edges, self.edges[1:], strict=False))]).T
+        outer = log(self.p["G"] @ h.T)
+        return np.concatenate([outer[c] + log(self.p["O"][e:f] @ h.T) for c, (e, f) in enumerate(zip(self.edges, self.edges[1:], strict=False))]).T
 
     def gradients(self, own: np.ndarray, targets: np.ndarray, first: np.ndarray) -> tuple[float, dict]:
         """Mean loss of the targets that aren't pad, and the gradient of each weight."""
         p = self.p
-        h, (x, qkv, k, v, a, o, weight) = self.attend(own, first)
+        h, (x, q, k, v, a, o, weight) = self.attend(own, first)
         live, t, bounds = self.outputs(targets)
-        hl, n, kind = self.classed(h, live), max(1, len(live)), h.dtype
-
-        def one(w: np.ndarray, h: np.ndarray, t: np.ndarray):
-            """Log shares, and what comes back to w and to h."""
-            got, z, total = share(w @ h.T, t)
-            z *= 1 / (n * total)
-            z[t, np.arange(len(t))] -= kind.type(1 / n)
-            return got.sum(), z @ h, z.T @ w[:, :WIDTH]
-
-        g = {"O": np.zeros_like(p["O"]), "E": np.zeros_like(p["E"])}
-        loss, g["G"], dhl = one(p["G"], hl, self.cluster[t])
-        spans = [(bounds[c], bounds[c + 1], self.edges[c], self.edges[c + 1]) for c in np.flatnonzero(np.diff(bounds))]
-        for i, j, e, f in spans:
-            if f > e + 1:
-                more, g["O"][e:f], back = one(p["O"][e:f], hl[i:j], t[i:j] - e)
-                loss += more
-                dhl[i:j] += back
-        dh = np.zeros_like(h)
-        dh[live] = dhl
-        # The attention.
-        g["out"] = o.reshape(-1, VALUES).T @ dh
-        do = (dh @ p["out"].T).reshape(o.shape) / weight
-        da = np.concatenate([do, -np.einsum("nsv,nsv->ns", do, o)[:, :, None]], axis=2) @ np.ascontiguousarray(v.transpose(0, 2, 1))
+        hl, n, kind = h.take(live, axis=0), max(1, len(live)), h.dtype
+        for shift in (False, True):
+            g, back = {k: np.zeros_like(p[k]) for k in "EGO"}, np.zeros((WIDTH, len(t)), kind)
+            got, totals = np.zeros(len(t), kind), {k: np.ones(len(t), kind) for k in "GO"}
+            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                for name, rows, classes, z, total, at, logit in self.softmaxes(hl, t, bounds, shift):
+                    got[rows] += logit
+                    totals[name][rows] = total
+                    z.ravel()[at] -= total
+                    z *= 1 / (n * total)
+                    g[name][classes] += z @ hl[rows]
+                    back[:, rows] += p[name][classes, :WIDTH].T @ z
+            if not any(map(extreme, totals.values())):
+                break
+        loss = float((got - np.log(totals["G"]) - np.log(totals["O"])).sum())
+        place = np.full(len(h), len(t))
+        place[live] = np.arange(len(t))
+        dh = np.concatenate([back.T, np.zeros((1, WIDTH), kind)]).take(place, axis=0)
+        # The attention. What comes back to a row's window goes to the row and to the one before it.
+        g["out"] = long(o, dh)
+        do = np.empty((VALUES + 1, len(h)), kind)
+        np.matmul(p["out"], dh.T, out=do[:VALUES])
+        do[:VALUES] /= weight
+        do[VALUES] = -np.einsum("vn,vn->n", do[:VALUES], o)
+        da = by_row(do).transpose(0, 2, 1) @ v
         da *= a
-        dv, dk = a.transpose(0, 2, 1) @ do, np.ascontiguousarray(qkv[:, :, :KEYS].transpose(0, 2, 1)) @ da
-        dqkv = np.empty_like(qkv)
-        dqkv[:, :, :KEYS] = da @ k.transpose(0, 2, 1)
-        dqkv[:, :, KEYS : 2 * KEYS], dqkv[:, :, 2 * KEYS :] = dk[:, :, STRIDE:].transpose(0, 2, 1), dv[:, STRIDE:]
-        dqkv[:-1, :, KEYS : 2 * KEYS] += dk[1:, :, :STRIDE].transpose(0, 2, 1)
-        dqkv[:-1, :, 2 * KEYS :] += dv[1:, :STRIDE]
+        dqkv, before = np.empty((2 * KEYS + VALUES, len(h)), kind), np.empty((KEYS + VALUES, len(h)), kind)
+        np.matmul(k, da.transpose(0, 2, 1), out=by_row(dqkv[:KEYS]))
+        for half, out in ((slice(STRIDE), before), (slice(STRIDE, None), dqkv[KEYS:])):
+            np.matmul(q, da[:, :, half], out=by_row(out[:KEYS]))
+            np.matmul(by_row(do[:VALUES]), a[:, :, half], out=by_row(out[KEYS:]))
+        dqkv[KEYS:, :-STRIDE] += before[:, STRIDE:]
         g["far"] = np.bincount(self.far.ravel(), weights=da.sum(axis=0).ravel(), minlength=2 * STRIDE).astype(kind)
-        dqkv = dqkv.reshape(len(x), -1)
-        g["in"] = x.T @ dqkv
-        dx = dh + dqkv @ p["in"].T
+        g["in"] = long(dqkv, x).T
+        dx = dqkv.T @ p["in"].T
+        dx += dh
         # A target is the input of the place after it, so that the order of the targets serves the embeddings too; an end's next place is a begin or pad.
         after, flat = np.minimum(live + 1, len(dx) - 1), own.ravel()
-        stays = flat[after] == t
-        after = dx.take(after, axis=0) * stays[:, None]
-        for i, j, e, f in spans:
-            z = np.zeros((f - e, j - i), kind)
-            z[t[i:j] - e, np.arange(j - i)] = 1
-            g["E"][e:f] = z @ after[i:j]
+        gone = flat[after] != t
+        after = dx.take(after, axis=0)
+        after[gone] = 0
+        if len(t):
+            starts = np.flatnonzero(np.diff(t, prepend=-1))
+            g["E"][t[starts]] = np.add.reduceat(after, starts, axis=0)
         g["E"][self.begin] = dx[flat == self.begin].sum(axis=0)
-        return -float(loss) / n, g
+        return -loss / n, g
 
     def adam(self, rate):
         """A function that takes a batch and makes one step of Adam; rate: of the step's number from 1."""
@@ -295,16 +334,17 @@ class Model:
             nonlocal t
             t += 1
             loss, g = self.gradients(own, targets, first)
-            size, root = np.float32(rate(t) / (1 - 0.9**t)), np.float32((1 - 0.99**t) ** -0.5)
+            # m and v are 10 and 100 times the usual ones, which saves their scaling.
+            root = (1 - 0.99**t) ** -0.5
+            size, least = np.float32(rate(t) / (1 - 0.9**t) / root), np.float32(1e-7 / root)
             for k, grad in g.items():
                 m[k] *= np.float32(0.9)
-                m[k] += np.float32(0.1) * grad
+                m[k] += grad
                 grad *= grad
                 v[k] *= np.float32(0.99)
-                v[k] += np.float32(0.01) * grad
+                v[k] += grad
                 np.sqrt(v[k], out=grad)
-                grad *= root
-                grad += np.float32(1e-8)
+                grad += least
                 np.divide(m[k], grad, out=grad)
                 grad *= size
                 self.p[k] -= grad
@@ -339,6 +379,12 @@ class Model:
         return total / np.log(10)
 
 
+def hold_memory() -> None:
+    """glibc gives freed memory back to the system beyond twice the largest block, of 32 MB at most, that it has seen mapped and
+    freed; getting it anew for each batch costs a page fault a page. The block here is never touched."""
+    np.empty(30 << 20, np.uint8)
+
+
 def texts_in(column: pa.Array, kind: np.dtype):
     """Pieces of a column of ids as bytes: (first row, row after the last, all ids, how many each row has)."""
     for a, b in slices(column):
@@ -365,6 +411,7 @@ def averaged(model: Model, part: DataFrame, names: list[str], rate: float, kind:
     shared = part.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches):
+        hold_memory()
         own, total, weights = shared.value, 0, np.zeros(0)
         start, held, of = own.p, [], None
 
@@ -413,35 +460,59 @@ def averaged(model: Model, part: DataFrame, names: list[str], rate: float, kind:
     return model
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(text) -> (h, n, word) of every word and its hash, each task's counts summed in parts before the shuffle. Words of one hash are one."""
+def word_counts(train: DataFrame, named: bool = True) -> DataFrame:
+    """(text) -> (h, n, word) of every word and its hash, each task's counts summed in parts before the shuffle. Words of one hash are one. named: with the word."""
 
     def count(batches):
+        hold_memory()
         held: list = []
 
         def flush():
-            keys, first, inverse = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
-            n = np.bincount(inverse, weights=np.concatenate([x[1] for x in held])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.concat_arrays([x[2] for x in held]).take(pa.array(first))], ["h", "n", "word"])
+            keys = np.concatenate([x[0] for x in held])
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            out = [pa.array(keys[first].view(np.int64)), pa.array(np.add.reduceat(np.concatenate([x[1] for x in held])[order], first))]
+            held_words = [pa.concat_arrays([x[2] for x in held]).take(pa.array(order[first]))] if named else []
+            return pa.RecordBatch.from_arrays(out + held_words, ["h", "n", "word"][: 2 + named])
 
         for batch in batches:
             for a, b in slices(batch.column(0)):
                 words = Words(batch.column(0).slice(a, b - a))
-                keys, first, n = np.unique(words.hash, return_index=True, return_counts=True)
-                data, size = bytes_of(words, first)
-                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-                held.append((keys, n, pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())))
-                if sum(len(x[0]) for x in held) > 500_000:
+                if not len(words.hash):
+                    continue
+                if named:
+                    keys, first, n = np.unique(words.hash, return_index=True, return_counts=True)
+                    data, size = bytes_of(words, first)
+                    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+                    held.append((keys, n, pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())))
+                else:
+                    held.append(np.unique(words.hash, return_counts=True))
+                if sum(len(x[0]) for x in held) > HELD:
                     yield flush()
                     held = []
         if held:
             yield flush()
 
     # By hash alone, so that both sums need one shuffle; the first is a hash aggregate, which a maximum of words would not be.
+    if not named:
+        return train.select("text").mapInArrow(count, "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n"))
     parts = train.select("text").mapInArrow(count, "h long, n long, word binary").repartition("h")
     return parts.groupBy("h", "word").agg(F.sum("n").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.first("word").alias("word"))
 
 
+def least_count(counts: DataFrame, total: int) -> int:
+    """The least count of words such that those with it or more are 2 ** FREQUENT_BITS at most: found exactly up to LEAST_COUNTS, else one that suffices for any table of so many tokens."""
+    held = dict(counts.groupBy(F.least("n", F.lit(LEAST_COUNTS)).alias("n")).agg(F.count("*").alias("words")).collect())
+    words, floor = 0, -(-total // (1 << FREQUENT_BITS))
+    for n in range(LEAST_COUNTS, 0, -1):
+        words += held.get(n, 0)
+        if words > 1 << FREQUENT_BITS:
+            break
+        floor = min(floor, n)
+    return max(1, floor)
+
+
 def subword_counts(texts: DataFrame, size: int, kind: np.dtype) -> np.ndarray:
     """The count of each subword in (ids). Tasks send the vocabulary's size at most, summed before the driver."""
 
@@ -469,16 +540,17 @@ def scored(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     ranks = spark.sparkContext.broadcast(vocabulary)
     text = F.col("text").cast("string")
     train = docs.where(~F.col("held_out")).select(text.alias("text"))
-    counts = materialize(word_counts(train))
+    counts = materialize(word_counts(train, named=False))
     ends = train.count()
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = whole.n + ends, whole.v + (ends > 0)
-    bottom, floor = total + 0.5 * (distinct + 1), max(1, -(-total // (1 << FREQUENT_BITS)))
+    bottom, floor = total + 0.5 * (distinct + 1), least_count(counts, total)
     frequent = counts.where(F.col("n") >= floor).select("h", "n").toArrow()
     order = np.argsort(frequent.column("h").to_numpy())
     known = spark.sparkContext.broadcast((frequent.column("h").to_numpy()[order], np.log10((frequent.column("n").to_numpy()[order] + 0.5) / bottom)))
 
     def encode(batches):
+        hold_memory()
         hashes, log = known.value
 
         def noted(h: np.ndarray) -> np.ndarray:
@@ -516,6 +588,7 @@ def scored(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches):
+        hold_memory()
         for batch in batches:
             got = [shared.value.score(ids, sizes) for _, _, ids, sizes in texts_in(batch.column("ids"), kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(got) if got else np.zeros(0))], [*batch.schema.names[:-1], "score"])

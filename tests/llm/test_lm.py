@@ -157,3 +157,21 @@ def test_edges(spark):
     bare = scored(docs.withColumn("held_out", F.lit(True))).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score < 0 for r in bare)
     assert scored(docs.limit(0)).collect() == []
+
+
+def test_least_count(spark, monkeypatch):
+    """As many words are broadcast as the bound allows, not only those with their share of all tokens."""
+    counts = spark.createDataFrame([(i, n) for i, n in enumerate([1] * 9 + [2] * 3 + [5, 3000])], "h long, n long")
+    got = []
+    for bits in (0, 1, 2, 3, 4):
+        monkeypatch.setattr(lm, "FREQUENT_BITS", bits)
+        got.append(lm.least_count(counts, 3020))
+    assert got == [6, 3, 3, 2, 1]
+    monkeypatch.setattr(lm, "FREQUENT_BITS", 1)
+    assert lm.least_count(counts.union(counts).where("n > 4").union(counts.where("n > 4")), 9015) == 4508
+
+
+def test_counts_without_words(spark):
+    docs = spark.createDataFrame([(t,) for t in ["a b Abc abc", None, "", " ", "abc " * 5000]], "text string").repartition(3)
+    named, bare = lm.word_counts(docs).collect(), lm.word_counts(docs, named=False)
+    assert bare.columns == ["h", "n"] and {(r.h, r.n) for r in bare.collect()} == {(r.h, r.n) for r in named}
