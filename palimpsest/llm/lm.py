@@ -49,8 +49,8 @@ LEAST_SUM, MOST_SUM = np.exp(-LIMIT), np.exp(LIMIT)
 STEPS, LEAST_BATCH, BATCH, RATE, LAST_RATE = 64, 16, 512, 3e-2, 3e-3
 SHARD_TOKENS, ROUNDS, MOST_TASKS = 1 << 19, 8, 8192
 FREQUENT_BITS, LEAST_COUNTS = 20, 1024
-#: Blocks scored at once; distinct words a task remembers.
-CHUNK, REMEMBERED = 1024, 1 << 20
+#: Blocks scored at once; distinct words a task remembers, and the first bits of their hashes by which it finds them.
+CHUNK, REMEMBERED, SLOT_BITS = 1024, 1 << 20, 22
 #: Places of a piece of a product; counts of words that a task holds before it sums them.
 PIECE, HELD = 1024, 1 << 20
 
@@ -81,7 +81,7 @@ class Subwords:
         self.forget()
 
     def forget(self) -> None:
-        self.slot, self.n = np.zeros(1 << 20, np.int32), 1
+        self.slot, self.n = np.zeros(1 << SLOT_BITS, np.int32), 1
         self.hash, self.begin, self.size, self.noted, self.flat = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024), np.zeros(0, np.int32)
 
     def each(self, words: Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +96,7 @@ class Subwords:
 
     def known(self, words: Words) -> np.ndarray:
         """The entry of each word; new words get one. A word's hash points at its last entry with the same first bits."""
-        slot = (words.hash >> np.uint64(44)).astype(np.int64)
+        slot = (words.hash >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         at = self.slot[slot].astype(np.int64)
         miss = np.flatnonzero((self.hash[at] != words.hash) | (at == 0))
         if len(miss):
@@ -111,7 +111,7 @@ class Subwords:
             self.hash[a:b], self.size[a:b], self.noted[a:b] = new, size, self.log(new)
             self.begin[a:b] = len(self.flat) + np.cumsum(size) - size
             self.flat, self.n = np.concatenate([self.flat, flat]), b
-            self.slot[(new >> np.uint64(44)).astype(np.int64)] = np.arange(a, b)
+            self.slot[(new >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = np.arange(a, b)
             at[miss] = a + inverse
         return at
 
@@ -289,14 +289,19 @@ class Model:
                     totals[name][rows] = total
                     z.ravel()[at] -= total
                     z *= 1 / (n * total)
-                    g[name][classes] += z @ hl[rows]
+                    if name == "G":
+                        g["G"] += z @ hl[rows]
+                    else:
+                        np.matmul(z, hl[rows], out=g["O"][classes])
                     back[:, rows] += p[name][classes, :WIDTH].T @ z
             if not any(map(extreme, totals.values())):
                 break
         loss = float((got - np.log(totals["G"]) - np.log(totals["O"])).sum())
         place = np.full(len(h), len(t))
         place[live] = np.arange(len(t))
-        dh = np.concatenate([back.T, np.zeros((1, WIDTH), kind)]).take(place, axis=0)
+        dh = np.zeros((len(t) + 1, WIDTH), kind)
+        dh[:-1] = back.T
+        dh = dh.take(place, axis=0)
         # The attention. What comes back to a row's window goes to the row and to the one before it.
         g["out"] = long(o, dh)
         do = np.empty((VALUES + 1, len(h)), kind)
@@ -313,7 +318,9 @@ class Model:
         dqkv[KEYS:, :-STRIDE] += before[:, STRIDE:]
         g["far"] = np.bincount(self.far.ravel(), weights=da.sum(axis=0).ravel(), minlength=2 * STRIDE).astype(kind)
         g["in"] = long(dqkv, x).T
-        dx = dqkv.T @ p["in"].T
+        dx = np.empty((len(x), WIDTH), kind)
+        for i in range(0, len(x), PIECE):
+            np.matmul(dqkv[:, i : i + PIECE].T, p["in"].T, out=dx[i : i + PIECE])
         dx += dh
         # A target is the input of the place after it, so that the order of the targets serves the embeddings too; an end's next place is a begin or pad.
         after, flat = np.minimum(live + 1, len(dx) - 1), own.ravel()
