@@ -51,8 +51,8 @@ SHARD_TOKENS, ROUNDS, MOST_TASKS = 1 << 19, 8, 8192
 FREQUENT_BITS, LEAST_COUNTS = 20, 1024
 #: Blocks scored at once; distinct words a task remembers, and the first bits of their hashes by which it finds them.
 CHUNK, REMEMBERED, SLOT_BITS = 1024, 1 << 20, 22
-#: Places of a piece of a product; counts of words that a task holds before it sums them.
-PIECE, HELD = 1024, 1 << 20
+#: Rows of a piece of the attention; places of a piece of the softmax; counts of words that a task holds before it sums them.
+ROWS, PIECE, HELD = 256, 1024, 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -152,11 +152,6 @@ def extreme(total: np.ndarray) -> bool:
     return not (LEAST_SUM < total.min(initial=1) and total.max(initial=1) < MOST_SUM)
 
 
-def long(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b, where few rows and columns come from many places: quickest in pieces."""
-    return sum(a[:, i : i + PIECE] @ b[i : i + PIECE] for i in range(0, len(b), PIECE))
-
-
 def exponentials(w: np.ndarray, h: np.ndarray, at: np.ndarray, shift: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of logits w @ h.T (classes, rows): their exponentials, the sum of each row, and the logit of each row's class, which is at a place (flat). shift: by each row's maximum."""
     z = w @ h.T
@@ -199,13 +194,13 @@ class Model:
         self.far = np.maximum(0, np.arange(STRIDE)[:, None] + STRIDE - np.arange(2 * STRIDE))
         self.mask = np.where(np.arange(STRIDE)[:, None] + STRIDE < np.arange(2 * STRIDE), -np.inf, 0).astype(np.float32)
 
-    def attend(self, own: np.ndarray, first: np.ndarray):
+    def attend(self, own: np.ndarray, first: np.ndarray, table: np.ndarray | None = None):
         """own: (rows, STRIDE) inputs, each row after the one before it but where a text is first. The output's inputs h, with a 1
         at the end which takes the biases, and what training needs. But for x and h, places are the last axis, as products of
         small matrices are quick along it."""
         p, n = self.p, len(own)
-        table, project = np.ones((len(p["E"]), WIDTH + 1), p["E"].dtype), np.zeros((VALUES, WIDTH + 1), p["E"].dtype)
-        table[:, :WIDTH], project[:, :WIDTH] = p["E"], p["out"]
+        table, project = self.table() if table is None else table, np.zeros((VALUES, WIDTH + 1), p["E"].dtype)
+        project[:, :WIDTH] = p["out"]
         x = table.take(own.ravel(), axis=0)
         # Queries, keys, values and a 1. STRIDE empty places come first, so that a row's window starts at the row before it.
         qkv = np.empty((2 * KEYS + VALUES + 1, (n + 1) * STRIDE), x.dtype)
@@ -232,6 +227,24 @@ class Model:
         h += x
         return h, (x[:, :WIDTH], q, k, v, a, o, weight)
 
+    def table(self) -> np.ndarray:
+        """The embeddings with a 1 at the end."""
+        out = np.ones((len(self.p["E"]), WIDTH + 1), self.p["E"].dtype)
+        out[:, :WIDTH] = self.p["E"]
+        return out
+
+    def attended(self, own: np.ndarray, first: np.ndarray, keep: bool = False):
+        """attend() in pieces of ROWS rows, each with the row before it, so that a piece stays in a core's cache. keep: also the
+        pieces' (row from which it is held, first row) and what training needs."""
+        table, out, kept = self.table(), np.empty((own.size, WIDTH + 1), self.p["E"].dtype), []
+        for i in range(0, len(own), ROWS):
+            a = max(0, i - 1)
+            h, more = self.attend(own[a : i + ROWS], first[a : i + ROWS], table)
+            out[i * STRIDE : (i + ROWS) * STRIDE] = h[(i - a) * STRIDE :]
+            if keep:
+                kept.append((a, i, more))
+        return out, kept
+
     def outputs(self, targets: np.ndarray):
         """The targets that aren't pad, in order of their classes: (places, targets, bounds of the clusters among them)."""
         t = targets.ravel()
@@ -277,7 +290,7 @@ class Model:
     def gradients(self, own: np.ndarray, targets: np.ndarray, first: np.ndarray) -> tuple[float, dict]:
         """Mean loss of the targets that aren't pad, and the gradient of each weight."""
         p = self.p
-        h, (x, q, k, v, a, o, weight) = self.attend(own, first)
+        h, kept = self.attended(own, first, keep=True)
         live, t, bounds = self.outputs(targets)
         hl, n, kind = h.take(live, axis=0), max(1, len(live)), h.dtype
         for shift in (False, True):
@@ -302,26 +315,33 @@ class Model:
         dh = np.zeros((len(t) + 1, WIDTH), kind)
         dh[:-1] = back.T
         dh = dh.take(place, axis=0)
-        # The attention. What comes back to a row's window goes to the row and to the one before it.
-        g["out"] = long(o, dh)
-        do = np.empty((VALUES + 1, len(h)), kind)
-        np.matmul(p["out"], dh.T, out=do[:VALUES])
-        do[:VALUES] /= weight
-        do[VALUES] = -np.einsum("vn,vn->n", do[:VALUES], o)
-        da = by_row(do).transpose(0, 2, 1) @ v
-        da *= a
-        dqkv, before = np.empty((2 * KEYS + VALUES, len(h)), kind), np.empty((KEYS + VALUES, len(h)), kind)
-        np.matmul(k, da.transpose(0, 2, 1), out=by_row(dqkv[:KEYS]))
-        for half, out in ((slice(STRIDE), before), (slice(STRIDE, None), dqkv[KEYS:])):
-            np.matmul(q, da[:, :, half], out=by_row(out[:KEYS]))
-            np.matmul(by_row(do[:VALUES]), a[:, :, half], out=by_row(out[KEYS:]))
-        dqkv[KEYS:, :-STRIDE] += before[:, STRIDE:]
-        g["far"] = np.bincount(self.far.ravel(), weights=da.sum(axis=0).ravel(), minlength=2 * STRIDE).astype(kind)
-        g["in"] = long(dqkv, x).T
-        dx = np.empty((len(x), WIDTH), kind)
-        for i in range(0, len(x), PIECE):
-            np.matmul(dqkv[:, i : i + PIECE].T, p["in"].T, out=dx[i : i + PIECE])
-        dx += dh
+        # The attention. What comes back to a row's window goes to the row and to the one before it, which a piece holds for that alone.
+        g |= {k: np.zeros_like(p[k]) for k in ("out", "in", "far")}
+        dx, far = np.zeros_like(dh), np.zeros((STRIDE, 2 * STRIDE), kind)
+        for start, i, (x, q, k, v, a, o, weight) in kept:
+            part = slice(start * STRIDE, (i + ROWS) * STRIDE)
+            dp = dh[part]
+            if start < i:
+                dp = dp.copy()
+                dp[:STRIDE] = 0
+            g["out"] += o @ dp
+            do = np.empty((VALUES + 1, len(dp)), kind)
+            np.matmul(p["out"], dp.T, out=do[:VALUES])
+            do[:VALUES] /= weight
+            do[VALUES] = -np.einsum("vn,vn->n", do[:VALUES], o)
+            da = by_row(do).transpose(0, 2, 1) @ v
+            da *= a
+            far += da.sum(axis=0)
+            dqkv, before = np.empty((2 * KEYS + VALUES, len(dp)), kind), np.empty((KEYS + VALUES, len(dp)), kind)
+            np.matmul(k, da.transpose(0, 2, 1), out=by_row(dqkv[:KEYS]))
+            for half, out in ((slice(STRIDE), before), (slice(STRIDE, None), dqkv[KEYS:])):
+                np.matmul(q, da[:, :, half], out=by_row(out[:KEYS]))
+                np.matmul(by_row(do[:VALUES]), a[:, :, half], out=by_row(out[KEYS:]))
+            dqkv[KEYS:, :-STRIDE] += before[:, STRIDE:]
+            g["in"] += (dqkv @ x).T
+            dp += dqkv.T @ p["in"].T
+            dx[part] += dp
+        g["far"] += np.bincount(self.far.ravel(), weights=far.ravel(), minlength=2 * STRIDE).astype(kind)
         # A target is the input of the place after it, so that the order of the targets serves the embeddings too; an end's next place is a begin or pad.
         after, flat = np.minimum(live + 1, len(dx) - 1), own.ravel()
         gone = flat[after] != t
@@ -378,7 +398,7 @@ class Model:
         out = np.zeros(len(own))
         for i in range(0, len(own), CHUNK):
             a, b = max(0, i - 1), i + CHUNK
-            h, _ = self.attend(own[a:b], first[a:b])
+            h, _ = self.attended(own[a:b], first[a:b])
             out[i:b] = self.log_likelihood(h[(i - a) * STRIDE :], targets[i:b])
         total = np.bincount(owner, weights=out, minlength=len(sizes))
         if len(ids):

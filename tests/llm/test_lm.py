@@ -175,3 +175,18 @@ def test_counts_without_words(spark):
     docs = spark.createDataFrame([(t,) for t in ["a b Abc abc", None, "", " ", "abc " * 5000]], "text string").repartition(3)
     named, bare = lm.word_counts(docs).collect(), lm.word_counts(docs, named=False)
     assert bare.columns == ["h", "n"] and {(r.h, r.n) for r in bare.collect()} == {(r.h, r.n) for r in named}
+
+
+def test_gradients_in_pieces(model, monkeypatch):
+    """Pieces of the attention and of the softmax change neither loss nor gradients, with shifted logits too."""
+    rng = np.random.default_rng(4)
+    model.p = {k: v.astype(float) for k, v in model.p.items()}
+    own, targets, _, first = lm.blocks(model.to_class[rng.integers(0, 40, 300)], np.array([150, 0, 33, 117]), model.begin, model.end, model.pad)
+    loss, whole = model.gradients(own, targets, first)
+    for rows, piece in ((1, 7), (3, 64)):
+        monkeypatch.setattr(lm, "ROWS", rows)
+        monkeypatch.setattr(lm, "PIECE", piece)
+        again, parts = model.gradients(own, targets, first)
+        assert again == pytest.approx(loss, rel=1e-9)
+        for k in whole:
+            assert parts[k] == pytest.approx(whole[k], rel=1e-6, abs=1e-9), k
