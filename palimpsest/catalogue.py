@@ -352,9 +352,10 @@ add("get_items", lambda spark, d: orders(spark, d).get("orders", 7, 3, 3, -1), f
 
 
 def option_maps(spark: SparkSession, d: str) -> DataFrame:
-    """Facets as one map a field, dates with an empty one: how many values and what count each map holds."""
+    """Facets as maps of each field, dates with an empty one: how many values and what count a field's maps hold."""
     maps = orders(spark, d).option_maps('FROM orders WHERE o_orderstatus = "F"')
-    return maps.select("field", F.size("values").cast("long").alias("n_values"), F.aggregate(F.map_values("values"), F.lit(0).cast("long"), lambda a, x: a + x).alias("hits"))
+    held = maps.select("field", F.size("values").cast("long").alias("n_values"), F.aggregate(F.map_values("values"), F.lit(0).cast("long"), lambda a, x: a + x).alias("hits"))
+    return held.groupBy("field").agg(F.sum("n_values").alias("n_values"), F.sum("hits").alias("hits"))
 
 
 FIELDS = ("o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice")

@@ -218,7 +218,7 @@ class Engine:
         return facets(items, self._hit(e, items, q), e.indices)
 
     def option_maps(self, query: Query | str) -> DataFrame:
-        """(field, values): the same as one map a field, date fields with an empty one."""
+        """(field, values): the same as one map a field, date fields with an empty one; a field of very many values is several rows, each value in one."""
         q = Query.parse(query) if isinstance(query, str) else query
         e = self.entities.get(q.entity)
         return rolled(self.options(q), e.indices) if e and e.indices else self._nothing("field string, values map<string,bigint>")

@@ -9,6 +9,9 @@ from ..functions.columns import column
 from ..functions.labels import number_label
 from ..types import Bool, Date, Index, Numeric
 
+#: Bytes of values and counts in a row of rolled maps, about.
+PART = 1 << 22
+
 
 def label(index: Index, field: str, items: DataFrame) -> Column:
     value = index.read(field, items.schema[field].dataType)
@@ -31,14 +34,18 @@ def facets(items: DataFrame, hit: Column, indices: dict[str, Index]) -> DataFram
 
 
 def rolled(long: DataFrame, indices: dict[str, Index]) -> DataFrame:
-    """(field, values: map of value to count) of every declared field, date fields with an empty map, values in order.
+    """(field, values: map of value to count) of every declared field, date fields with an empty map, fields and the values of a map in order.
 
-    A map holds all values of a field in one row: for fields of few values.
+    A field is one row up to about PART bytes of values and counts. One of more is several rows, dealt by a hash of the
+    value: together they hold each value once, and no row grows with the field. The sizes come from the facets' own shuffle.
     """
-    names = long.sparkSession.createDataFrame([(f,) for f in sorted(indices)], "field string")
-    entries = long.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("value", "count"))).alias("entries"))
-    empty = F.array().cast("array<struct<value:string,count:bigint>>")
-    return names.join(entries, "field", "left").select("field", F.map_from_entries(F.coalesce("entries", empty)).alias("values")).orderBy("field")
+    bare = long.sparkSession.createDataFrame([(f,) for f in sorted(indices)], "field string")
+    rows = long.unionByName(bare.select("field", F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("count")))
+    size = F.coalesce(F.sum(F.octet_length("value") + F.octet_length(F.col("count").cast("string"))), F.lit(0))
+    parts = rows.groupBy("field").agg(F.greatest(F.ceil(size / PART), F.lit(1)).alias("parts"))
+    dealt = rows.join(F.broadcast(parts), "field").withColumn("part", F.pmod(F.xxhash64("value"), "parts"))
+    entries = dealt.groupBy("field", "part").agg(F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("value", "count")))).alias("entries"))
+    return entries.orderBy("field", "part").select("field", F.map_from_entries("entries").alias("values"))
 
 
 def summary(long: DataFrame, k: int) -> DataFrame:

@@ -58,7 +58,10 @@ def handle(engine: Engine, method: str, path: str, body: Any) -> tuple[int, Any]
             case "POST", "search":
                 return 200, {"data": items_of(engine, body["query"])}
             case "POST", "options":
-                return 200, [{"field": r["field"], "values": dict(sorted(r["values"].items()))} for r in engine.option_maps(body["query"]).collect()]
+                maps: dict[str, dict[str, int]] = {}
+                for r in engine.option_maps(body["query"]).collect():
+                    maps.setdefault(r["field"], {}).update(r["values"])
+                return 200, [{"field": f, "values": dict(sorted(values.items()))} for f, values in maps.items()]
             case _:
                 return 404, f"no route {method} {path}"
     except EntityAlreadyExists as e:
